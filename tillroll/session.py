@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "tillroll", master: str | None = None, **conf: str) -> SparkSession:
+def session(app: str = "tillroll", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the plans rely on; ``conf`` entries win.
 
     ``spark.shuffle.accurateBlockSkewedFactor`` keeps the true size of skewed
@@ -23,7 +23,7 @@ def session(app: str = "tillroll", master: str | None = None, **conf: str) -> Sp
         "spark.shuffle.accurateBlockSkewedFactor": "5.0",
         "spark.sql.autoBroadcastJoinThreshold": "64MB",
     }
-    settings.update({key.replace("_", "."): value for key, value in conf.items()})
+    settings.update(conf or {})
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
