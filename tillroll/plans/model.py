@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,9 @@ def fit_boosted(
         TargetEncoder(
             inputCols=indexed, outputCols=encoded, labelCol=LABEL, targetType="binary", smoothing=1.0, handleInvalid="keep"
         ),
-        VectorAssembler(inputCols=[*numeric, *encoded], outputCol="features"),
+        # the sum drops the category marks of the index, so that the trees see plain numbers
+        SQLTransformer(statement=f"SELECT *, {', '.join(f'{c} + 0D AS {c}_value' for c in encoded)} FROM __THIS__"),
+        VectorAssembler(inputCols=[*numeric, *[f"{c}_value" for c in encoded]], outputCol="features"),
     ]
     encoder = Pipeline(stages=stages)
     # categories learn from the training clients only
