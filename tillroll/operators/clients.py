@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import weekday_of
-from tillroll.operators.hotkeys import Hot, hot_keys
+from tillroll.operators.hotkeys import DEFAULT, Hot, Limits, hot_keys
 from tillroll.operators.percentiles import percentiles_by
 from tillroll.operators.scaling import winsorized
 
@@ -79,40 +79,55 @@ def with_weekday(df: DataFrame, grain: str) -> DataFrame:
     return df.withColumn("weekday", weekday_of(F.col("day")) if grain == "day" else F.weekday("trans_ts"))
 
 
-def by_client(
+def by_client(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+    """One row per client from aggregates that combine on the map side."""
+    return df.groupBy("client_id").agg(*[agg.alias(name) for name, agg in aggregates.items()])
+
+
+def with_whole_clients(
     df: DataFrame,
     aggregates: dict[str, Column],
     medians: bool = False,
+    distinct: bool = False,
     hot: Hot | None = None,
-    group_rows: int | None = None,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
-    """One row per client.
+    """``by_client`` with medians and distinct counts, which need all rows of a client.
 
-    All aggregates combine on the map side except medians, which keep a client's
-    distinct amounts in one task; where ``medians`` are asked for, clients too
-    large for that take the counting percentiles instead.
+    Clients of ordinary size come together in one exchange of the plain rows.
+    Distinct counts have an aggregation of their own: beside other aggregates
+    they would multiply the rows those see. Clients too large for one task
+    spread: distinct values are reduced before they meet, medians are counted.
     """
 
-    def grouped(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
-        return rows.groupBy("client_id").agg(*[agg.alias(name) for name, agg in {**aggregates, **more}.items()])
+    def ordinary(rows: DataFrame) -> DataFrame:
+        together = rows.repartition("client_id")
+        plain = {**aggregates, **(median_aggregates() if medians else {})}
+        if not distinct:
+            return by_client(together, plain)
+        counts = by_client(together, nunique_aggregates())
+        return by_client(together, plain).join(counts, "client_id") if plain else counts
 
     def oversized(rows: DataFrame) -> DataFrame:
-        out = grouped(rows, {})
-        for c in SIDES:
-            found = percentiles_by(rows, F.col(c), [0.5], ["client_id"], group_rows=group_rows)
+        out = by_client(rows, {**aggregates, **(nunique_aggregates() if distinct else {})})
+        for c in SIDES if medians else ():
+            found = percentiles_by(rows, F.col(c), [0.5], ["client_id"], limits=limits)
             median = F.col("percentiles")[0].alias(f"{c}_client_median")
             out = out.join(found.select("client_id", median), "client_id", "left")
         return out
 
-    if not medians:
-        return grouped(df, {})
-    hot = hot or hot_keys(df, ["client_id"], group_rows)
-    return hot.apply(df, lambda rows: grouped(rows, median_aggregates()), oversized)
+    hot = hot or hot_keys(df, ["client_id"], limits)
+    return hot.apply(df, ordinary, oversized)
 
 
-def money_profile(df: DataFrame, group_rows: int | None = None) -> DataFrame:
+def money_profile(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """mean, median, std, count, sum of income and spend per client."""
-    return by_client(df, money_aggregates(), medians=True, group_rows=group_rows)
+    return with_whole_clients(df, money_aggregates(), medians=True, limits=limits)
+
+
+def distinct_counts(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Distinct terminals, transaction types and codes per client; NULL is not counted."""
+    return with_whole_clients(df, {}, distinct=True, limits=limits)
 
 
 def weekday_counts(df: DataFrame) -> DataFrame:
@@ -130,9 +145,9 @@ def net_difference(features: DataFrame) -> DataFrame:
     return features.withColumn("delta_up_down", F.col("amount_up_client_sum") - F.col("amount_down_client_sum"))
 
 
-def winsorized_difference(features: DataFrame, rows: str = "n_rows", group_rows: int | None = None) -> DataFrame:
+def winsorized_difference(features: DataFrame, rows: str = "n_rows", limits: Limits = DEFAULT) -> DataFrame:
     """``net_difference`` cut at the percentiles over transactions: a client weighs by its row count."""
-    return winsorized(net_difference(features), ["delta_up_down"], weight=F.col(rows), group_rows=group_rows)
+    return winsorized(net_difference(features), ["delta_up_down"], weight=F.col(rows), limits=limits)
 
 
 def client_features(
@@ -140,27 +155,28 @@ def client_features(
     further: dict[str, Column],
     winsorize_difference: bool,
     hot: Hot | None = None,
-    group_rows: int | None = None,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
-    """Money profile, distinct counts, difference and ``further`` aggregates, in one aggregation."""
-    out = by_client(
+    """Money profile, distinct counts, difference and ``further`` aggregates."""
+    out = with_whole_clients(
         df,
-        {**money_aggregates(), **nunique_aggregates(), **further, "n_rows": F.count(F.lit(1))},
+        {**money_aggregates(), **further, "n_rows": F.count(F.lit(1))},
         medians=True,
+        distinct=True,
         hot=hot,
-        group_rows=group_rows,
+        limits=limits,
     )
-    return winsorized_difference(out, group_rows=group_rows) if winsorize_difference else net_difference(out)
+    return winsorized_difference(out, limits=limits) if winsorize_difference else net_difference(out)
 
 
-def joined_back(df: DataFrame, features: DataFrame, hot: Hot | None = None, group_rows: int | None = None) -> DataFrame:
+def joined_back(df: DataFrame, features: DataFrame, hot: Hot | None = None, limits: Limits = DEFAULT) -> DataFrame:
     """Client features on every transaction of the client.
 
     Hot clients are few, so their features are broadcast; the others meet in a
     join in which no client exceeds the row limit.
     """
     features = features.drop("n_rows")
-    hot = hot or hot_keys(df, ["client_id"], group_rows)
+    hot = hot or hot_keys(df, ["client_id"], limits)
     return hot.apply(
         df,
         lambda rows: rows.join(features if hot.keys is None else hot.split(features)[0], "client_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import date_of
-from tillroll.operators.hotkeys import lookup_table
+from tillroll.operators.hotkeys import DEFAULT, Limits, lookup_table
 from tillroll.operators.percentiles import percentiles_by
 
 HOURS = range(24)
@@ -92,7 +92,7 @@ def gender_skew(df: DataFrame) -> DataFrame:
     )
 
 
-def with_gender_skew(df: DataFrame, group_rows: int | None = None) -> DataFrame:
+def with_gender_skew(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """The skew of its code on every transaction; rows whose code has none drop out."""
     sizes = df.dropna(subset=["mcc_code"]).groupBy("mcc_code").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -104,7 +104,7 @@ def with_gender_skew(df: DataFrame, group_rows: int | None = None) -> DataFrame:
         "n_rows",
         ((F.col("count_0") - F.col("count_1")) / F.nullif(F.col("count_0") + F.col("count_1"), F.lit(0))).alias("dif"),
     )
-    return lookup_table(df, side, ["mcc_code"], "n_rows", group_rows).filter(F.col("dif").isNotNull())
+    return lookup_table(df, side, ["mcc_code"], "n_rows", limits).filter(F.col("dif").isNotNull())
 
 
 def exclusive_codes(df: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def nuniques_by_group(df: DataFrame, grouper: str, groups: Sequence[int]) -> Dat
     )
 
 
-def described(df: DataFrame, value: str, by: Sequence[str] = (), group_rows: int | None = None) -> DataFrame:
+def described(df: DataFrame, value: str, by: Sequence[str] = (), limits: Limits = DEFAULT) -> DataFrame:
     """count, mean, std, min, quartiles, max of a column, per group or over the whole table."""
     stats = [
         F.count(value).alias("n"),
@@ -146,7 +146,7 @@ def described(df: DataFrame, value: str, by: Sequence[str] = (), group_rows: int
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     ]
-    found = percentiles_by(df, F.col(value), QUARTILES, by, group_rows=group_rows)
+    found = percentiles_by(df, F.col(value), QUARTILES, by, limits=limits)
     if by:
         df = df.dropna(subset=list(by))
         out = df.groupBy(*by).agg(*stats).join(found, list(by), "left")

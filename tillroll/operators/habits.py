@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.amounts import ratio, strictly_earned, strictly_spent
-from tillroll.operators.hotkeys import GroupStats, attach
+from tillroll.operators.hotkeys import DEFAULT, GroupStats, Limits, attach
 
 CLIENT = ("client_id",)
 
@@ -125,31 +125,31 @@ def finished(df: DataFrame, stats: list[GroupStats]) -> DataFrame:
     return out
 
 
-def with_stats(df: DataFrame, stats: list[GroupStats], group_rows: int | None = None) -> DataFrame:
-    return finished(attach(df, stats, "client_id", group_rows=group_rows), stats)
+def with_stats(df: DataFrame, stats: list[GroupStats], limits: Limits = DEFAULT) -> DataFrame:
+    return finished(attach(df, stats, "client_id", limits=limits), stats)
 
 
-def money_per_transaction(df: DataFrame, group_rows: int | None = None) -> DataFrame:
-    return with_stats(df, money_per_transaction_stats(), group_rows)
+def money_per_transaction(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    return with_stats(df, money_per_transaction_stats(), limits)
 
 
-def money_all(df: DataFrame, group_rows: int | None = None) -> DataFrame:
-    return with_stats(df, money_all_stats(), group_rows)
+def money_all(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    return with_stats(df, money_all_stats(), limits)
 
 
-def frequency(df: DataFrame, group_rows: int | None = None) -> DataFrame:
-    return with_stats(df, frequency_stats(), group_rows)
+def frequency(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    return with_stats(df, frequency_stats(), limits)
 
 
-def habits(df: DataFrame, group_rows: int | None = None) -> DataFrame:
-    return with_stats(df, habit_stats(), group_rows)
+def habits(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    return with_stats(df, habit_stats(), limits)
 
 
-def with_code_count(df: DataFrame, group_rows: int | None = None) -> DataFrame:
+def with_code_count(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """How often the client used the code of the row; rows without a code match nothing and drop out."""
     return attach(
         df.filter(F.col("client_id").isNotNull() & F.col("mcc_code").isNotNull()),
         [GroupStats(("client_id", "mcc_code"), {"mcc_code_count": F.count("mcc_code")})],
         "client_id",
-        group_rows=group_rows,
+        limits=limits,
     )

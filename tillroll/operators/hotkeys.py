@@ -1,6 +1,6 @@
 """Groups too large for one task: finding them, and attaching values to rows in spite of them.
 
-A group is *hot* when it has more rows than ``row_limit`` allows. The limit is
+A group is *hot* when it has more rows than ``Limits.of`` allows. The limit is
 at least ``rows / MAX_HOT_KEYS``, so at most ``MAX_HOT_KEYS`` groups can be hot
 whatever the data: that is the bound behind every broadcast here. All other
 groups fit into one task.
@@ -23,9 +23,26 @@ GROUP_ROWS = 1_000_000
 MAX_HOT_KEYS = 500_000
 
 
-def row_limit(rows: int, group_rows: int | None = None) -> int:
-    """Most rows a group may have to be handled inside one task."""
-    return max(GROUP_ROWS if group_rows is None else group_rows, ceil(rows / MAX_HOT_KEYS))
+@dataclass(frozen=True)
+class Limits:
+    """How large a group may be for one task.
+
+    ``rows`` is an upper bound of the rows of the table, where the caller knows
+    one: a table no larger than ``group_rows`` needs no search for hot groups.
+    """
+
+    group_rows: int = GROUP_ROWS
+    rows: int | None = None
+
+    def of(self, rows: int) -> int:
+        """Most rows a group of a table of ``rows`` rows may have to be handled inside one task."""
+        return max(self.group_rows, ceil(rows / MAX_HOT_KEYS))
+
+    def none_hot(self) -> bool:
+        return self.rows is not None and self.rows <= self.group_rows
+
+
+DEFAULT = Limits()
 
 
 @dataclass(frozen=True)
@@ -55,11 +72,13 @@ class Hot:
         return ordinary(cold_rows).unionByName(oversized(hot_rows))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], group_rows: int | None = None) -> Hot:
+def hot_keys(df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT) -> Hot:
     """The hot groups of ``df``, from a count with map-side combine that reads the key columns only."""
+    if limits.none_hot():
+        return Hot(tuple(keys), None, limits.group_rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
     totals = sizes.agg(F.sum("group_rows").alias("rows"), F.max("group_rows").alias("largest")).first()
-    limit = row_limit(totals["rows"] or 0, group_rows)
+    limit = limits.of(totals["rows"] or 0)
     if (totals["largest"] or 0) <= limit:
         return Hot(tuple(keys), None, limit)
     return Hot(tuple(keys), pinned(sizes.filter(F.col("group_rows") > limit).select(*keys)), limit)
@@ -69,7 +88,7 @@ def lookup(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, limit
     """Left join of ``side`` (one row per key) to ``df`` that no hot key can overload.
 
     ``rows`` names the column of ``side`` with the number of rows of ``df`` per
-    key. Keys above ``limit`` (few, see ``row_limit``) are broadcast; the others
+    key. Keys above ``limit`` (few, see ``Limits.of``) are broadcast; the others
     meet in a shuffle. Rows that take no part in the shuffle join, because their
     key is hot or NULL, get a spread value and are scattered instead of meeting
     in one task. The spread is a function of task and content, so a task that
@@ -89,13 +108,13 @@ def lookup(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, limit
     return met.select(*df.columns, *[found[v].alias(v) for v in values])
 
 
-def lookup_table(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, group_rows: int | None = None) -> DataFrame:
+def lookup_table(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, limits: Limits = DEFAULT) -> DataFrame:
     """``lookup`` of a table whose size is not known: counted first, and broadcast whole where it is small."""
     side = pinned(side)
     sizes = side.agg(F.count(F.lit(1)).alias("keys"), F.sum(rows).alias("rows")).first()
     if sizes["keys"] <= MAX_HOT_KEYS:
         return df.join(F.broadcast(side.drop(rows)), list(keys), "left")
-    return lookup(df, side, keys, rows, row_limit(sizes["rows"], group_rows))
+    return lookup(df, side, keys, rows, limits.of(sizes["rows"]))
 
 
 @dataclass(frozen=True)
@@ -111,7 +130,7 @@ def attach(
     stats: Sequence[GroupStats],
     anchor: str,
     hot: Hot | None = None,
-    group_rows: int | None = None,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """``df`` with group aggregates on every row; every key list starts with ``anchor``.
 
@@ -119,7 +138,7 @@ def attach(
     Rows of hot anchors go another way: their aggregates are pre-aggregated on
     the map side and looked up.
     """
-    hot = hot or hot_keys(df, [anchor], group_rows)
+    hot = hot or hot_keys(df, [anchor], limits)
     return hot.apply(
         df, lambda rows: with_windows(rows, stats, anchor), lambda rows: with_lookups(rows, stats, anchor, hot.limit)
     )

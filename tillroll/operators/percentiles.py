@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.hotkeys import hot_keys
+from tillroll.operators.hotkeys import DEFAULT, Limits, hot_keys
 from tillroll.operators.lineage import pinned
 
 BINS = 1024
@@ -19,7 +19,7 @@ def percentiles_by(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     weight: Column | None = None,
-    group_rows: int | None = None,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """One row per group of ``by`` with the array ``percentiles`` of the non-null values.
 
@@ -32,7 +32,7 @@ def percentiles_by(
     rows = source.select(
         *keys, value.cast("double").alias("value"), (F.lit(1) if weight is None else weight).cast("long").alias("weight")
     ).filter(F.col("value").isNotNull() & (F.col("weight") > 0))
-    out = hot_keys(rows, keys, group_rows).apply(
+    out = hot_keys(rows, keys, limits).apply(
         rows,
         lambda part: _in_one_task(part, keys, probabilities),
         lambda part: _narrow(part, keys, probabilities),
@@ -121,7 +121,7 @@ def column_percentiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     weight: Column | None = None,
-    group_rows: int | None = None,
+    limits: Limits = DEFAULT,
 ) -> dict[str, list[Column]]:
     """Percentiles of whole columns, as scalar subqueries to be used in expressions over ``df``."""
     stacked = df.select(
@@ -130,6 +130,6 @@ def column_percentiles(
         ).alias("cell"),
         (F.lit(1) if weight is None else weight).alias("weight"),
     ).select("cell.*", "weight")
-    found = percentiles_by(stacked, F.col("value"), probabilities, ["column_name"], F.col("weight"), group_rows)
+    found = percentiles_by(stacked, F.col("value"), probabilities, ["column_name"], F.col("weight"), limits)
     wide = found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("percentiles"))).alias(c) for c in columns])
     return {c: [wide.select(F.get(F.col(c), F.lit(i))).scalar() for i in range(len(probabilities))] for c in columns}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.hotkeys import DEFAULT, Limits
 from tillroll.operators.percentiles import column_percentiles
 
 # The tails that are cut off, and the scale of the min-max form.
@@ -20,10 +21,10 @@ def winsorized(
     low: float = LOW,
     high: float = HIGH,
     weight: Column | None = None,
-    group_rows: int | None = None,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """Values beyond the ``low`` and ``high`` percentile of their column become that percentile; NULL stays."""
-    bounds = column_percentiles(df, columns, [low, high], weight, group_rows)
+    bounds = column_percentiles(df, columns, [low, high], weight, limits)
     return df.withColumns(
         {
             c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), floor), ceiling))

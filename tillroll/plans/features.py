@@ -10,7 +10,7 @@ from tillroll.functions.mcc import mcc_group
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients
 from tillroll.operators.habits import all_stats, finished
-from tillroll.operators.hotkeys import GroupStats, Hot, hot_keys, with_lookups, with_windows
+from tillroll.operators.hotkeys import DEFAULT, GroupStats, Hot, Limits, hot_keys, with_lookups, with_windows
 from tillroll.operators.scaling import winsorized
 
 HELPERS = ["amount_up", "amount_down", "weekday", "trans_time", "trans_ts", "day_mod7", "n_rows"]
@@ -30,19 +30,19 @@ def _assembled(df: DataFrame, features: DataFrame, stats: list[GroupStats], hot:
     )
 
 
-def scoring_features(df: DataFrame, winsorize: bool = True, group_rows: int | None = None) -> DataFrame:
+def scoring_features(df: DataFrame, winsorize: bool = True, limits: Limits = DEFAULT) -> DataFrame:
     """Features of the scoring script, one row per transaction.
 
     ``winsorize`` cuts the amounts behind the client profile and the income
     minus spend difference at the 5 % and 95 % percentile of the given rows.
     """
-    hot = hot_keys(df, ["client_id"], group_rows)
+    hot = hot_keys(df, ["client_id"], limits)
     rows = with_time_parts(df)
     signed = with_signed_amounts(rows)
     if winsorize:
-        signed = winsorized(signed, list(clients.SIDES), group_rows=group_rows)
+        signed = winsorized(signed, list(clients.SIDES), limits=limits)
     further: dict[str, Column] = {**clients.weekday_means(), "all_time_freq": clients.days_per_transaction()}
-    features = clients.client_features(signed, further, winsorize, hot, group_rows).drop("n_rows")
+    features = clients.client_features(signed, further, winsorize, hot, limits).drop("n_rows")
     stats = all_stats()
     out = finished(_assembled(rows, features, stats, hot), stats)
     return (
@@ -52,14 +52,14 @@ def scoring_features(df: DataFrame, winsorize: bool = True, group_rows: int | No
     )
 
 
-def training_features(df: DataFrame, group_rows: int | None = None) -> DataFrame:
+def training_features(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Features of the validated training: raw amounts, weekday columns, transactions per day."""
-    hot = hot_keys(df, ["client_id"], group_rows)
+    hot = hot_keys(df, ["client_id"], limits)
     rows = with_time_parts(df)
     signed = clients.with_weekday(with_signed_amounts(rows), "second")
     further = {**clients.weekday_aggregates(), "all_time_freq": clients.transactions_per_day()}
     features = (
-        clients.client_features(signed, further, False, hot, group_rows)
+        clients.client_features(signed, further, False, hot, limits)
         .drop("n_rows")
         .withColumnsRenamed(clients.NUNIQUE_ALIASES)
     )

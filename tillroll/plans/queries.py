@@ -11,6 +11,7 @@ from tillroll.functions.amounts import with_signed_amounts
 from tillroll.functions.mcc import mcc_group
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients, cohort, habits, profile, sampling
+from tillroll.operators.hotkeys import Limits
 from tillroll.operators.joins import day_time, labelled, of_clients
 from tillroll.operators.scaling import minmax_scaled, winsorized
 from tillroll.plans import features, model
@@ -49,6 +50,11 @@ def test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_clients(txn(spark, sf_dir), tables.unlabelled(spark, sf_dir))
 
 
+def limits(spark: SparkSession, sf_dir: str) -> Limits:
+    """Small tables spare the search for hot groups."""
+    return Limits(rows=tables.row_bound(spark, sf_dir))
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_time_parts(train(spark, sf_dir))
 
@@ -77,7 +83,7 @@ def mcc_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def winsorize_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_signed_amounts(train(spark, sf_dir)).select("client_id", *SIDES)
-    return four_digits(winsorized(rows, SIDES))
+    return four_digits(winsorized(rows, SIDES, limits=limits(spark, sf_dir)))
 
 
 def minmax_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +92,17 @@ def minmax_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_money_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return four_digits(clients.money_profile(with_signed_amounts(train(spark, sf_dir))))
+    return four_digits(clients.money_profile(with_signed_amounts(train(spark, sf_dir)), limits(spark, sf_dir)))
 
 
 def client_money_profile_winsor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = winsorized(with_signed_amounts(train(spark, sf_dir)), SIDES)
-    return four_digits(clients.money_profile(rows))
+    bound = limits(spark, sf_dir)
+    rows = winsorized(with_signed_amounts(train(spark, sf_dir)), SIDES, limits=bound)
+    return four_digits(clients.money_profile(rows, bound))
 
 
 def client_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clients.by_client(train(spark, sf_dir), clients.nunique_aggregates())
+    return clients.distinct_counts(train(spark, sf_dir), limits(spark, sf_dir))
 
 
 def weekday_counts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,32 +131,34 @@ def txn_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = winsorized(with_signed_amounts(train(spark, sf_dir)), SIDES)
+    bound = limits(spark, sf_dir)
+    rows = winsorized(with_signed_amounts(train(spark, sf_dir)), SIDES, limits=bound)
     sums = clients.by_client(rows, {**clients.money_aggregates(), "n_rows": F.count(F.lit(1))})
-    return four_digits(clients.winsorized_difference(sums).select("client_id", "delta_up_down", "n_rows"))
+    return four_digits(clients.winsorized_difference(sums, limits=bound).select("client_id", "delta_up_down", "n_rows"))
 
 
 def client_features_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signed(spark, sf_dir)
     further = {**clients.weekday_means(), "all_time_freq": clients.days_per_transaction()}
-    table = clients.client_features(rows, further, winsorize_difference=False)
+    bound = limits(spark, sf_dir)
+    table = clients.client_features(rows, further, winsorize_difference=False, limits=bound)
     kept = rows.select("client_id", "gender", "trans_time", "amount")
-    return four_digits(clients.joined_back(kept, table))
+    return four_digits(clients.joined_back(kept, table, limits=bound))
 
 
 def mcc_code_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return habits.with_code_count(train(spark, sf_dir)).select("client_id", "mcc_code", "amount", "mcc_code_count")
+    return habits.with_code_count(train(spark, sf_dir), limits(spark, sf_dir)).select("client_id", "mcc_code", "amount", "mcc_code_count")
 
 
 KEYS = ["client_id", "trans_time", "amount"]
 
 
 def money_per_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return four_digits(habits.money_per_transaction(train(spark, sf_dir).select(KEYS)))
+    return four_digits(habits.money_per_transaction(train(spark, sf_dir).select(KEYS), limits(spark, sf_dir)))
 
 
 def money_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return four_digits(habits.money_all(train(spark, sf_dir).select(KEYS)))
+    return four_digits(habits.money_all(train(spark, sf_dir).select(KEYS), limits(spark, sf_dir)))
 
 
 def spend_earn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,20 +172,20 @@ def spend_earn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parsed(spark, sf_dir).select("client_id", "day", "hour")
-    return four_digits(habits.frequency(rows))
+    return four_digits(habits.frequency(rows, limits(spark, sf_dir)))
 
 
 def habit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = train(spark, sf_dir).select("client_id", "term_id", "trans_type", "mcc_code", "amount")
-    return four_digits(habits.habits(rows))
+    return four_digits(habits.habits(rows, limits(spark, sf_dir)))
 
 
 def scoring_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return four_digits(features.scoring_features(train(spark, sf_dir)))
+    return four_digits(features.scoring_features(train(spark, sf_dir), limits=limits(spark, sf_dir)))
 
 
 def training_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = features.training_features(train(spark, sf_dir))
+    table = features.training_features(train(spark, sf_dir), limits=limits(spark, sf_dir))
     return four_digits(table, [n for n, t in table.dtypes if t == "double" and n != "all_time_freq"])
 
 
@@ -200,12 +209,12 @@ def describe_amount_by_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = train(spark, sf_dir).select(
         "gender", "amount", F.when(F.col("amount") < 0, "amount < 0").otherwise("amount >= 0").alias("side")
     )
-    return four_digits(cohort.described(rows.dropna(subset=["amount"]), "amount", ["gender", "side"]))
+    return four_digits(cohort.described(rows.dropna(subset=["amount"]), "amount", ["gender", "side"], limits(spark, sf_dir)))
 
 
 def describe_mcc_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cohort.code_count_difference(cohort_rows(spark, sf_dir))
-    return four_digits(cohort.described(counts, "diff_true_false"))
+    return four_digits(cohort.described(counts, "diff_true_false", limits=limits(spark, sf_dir)))
 
 
 def balanced_size(spark: SparkSession, sf_dir: str) -> int:
@@ -257,7 +266,8 @@ def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = train(spark, sf_dir)
     n = sampling.client_list(rows).count() // 5
     rest, held = sampling.holdout(rows, n, per_gender=False)
-    known, unknown = features.scoring_features(rest), features.scoring_features(held)
+    bound = limits(spark, sf_dir)
+    known, unknown = features.scoring_features(rest, limits=bound), features.scoring_features(held, limits=bound)
     boosted = model.fit_boosted(known, iterations=3, rate=model.TRAINING_RATE, depth=3, validation_share=0.2)
     forest = model.fit_forest(known, trees=5, depth=5)
     scores = [
@@ -270,9 +280,9 @@ def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every transaction of the unlabelled clients."""
     boosted = model.fit_boosted(
-        features.scoring_features(train(spark, sf_dir)), iterations=3, rate=model.TRAINING_RATE, depth=3
+        features.scoring_features(train(spark, sf_dir), limits=limits(spark, sf_dir)), iterations=3, rate=model.TRAINING_RATE, depth=3
     )
-    return model.scored_by_boosted(boosted, features.scoring_features(test(spark, sf_dir)))
+    return model.scored_by_boosted(boosted, features.scoring_features(test(spark, sf_dir), limits=limits(spark, sf_dir)))
 
 
 QUERIES: dict[str, Query] = {
@@ -316,7 +326,7 @@ QUERIES: dict[str, Query] = {
     "mcc_count_diff": lambda s, d: cohort.code_count_difference(cohort_rows(s, d)),
     "describe_mcc_diff": describe_mcc_diff,
     "gender_skew_by_mcc": lambda s, d: cohort.gender_skew(train(s, d)),
-    "gender_skew_joined": lambda s, d: cohort.with_gender_skew(train(s, d)).select("client_id", "mcc_code", "amount", "dif"),
+    "gender_skew_joined": lambda s, d: cohort.with_gender_skew(train(s, d), limits(s, d)).select("client_id", "mcc_code", "amount", "dif"),
     "exclusive_mcc": exclusive_mcc,
     "nuniques_by_group": lambda s, d: cohort.nuniques_by_group(cohort_rows(s, d), "gender", [0, 1]),
     "describe_amount_by_gender": describe_amount_by_gender,

@@ -61,6 +61,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def row_bound(spark: SparkSession, sf_dir: str) -> int:
+    """Most transactions there can be: orders and customers are looked up by key. Read from the file footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients whose gender is known."""
     key = F.col("c_custkey")
