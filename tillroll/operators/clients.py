@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import weekday_of
 from tillroll.operators.hotkeys import DEFAULT, Hot, Limits, hot_keys
+from tillroll.operators.lineage import pinned
 from tillroll.operators.percentiles import percentiles_by
 from tillroll.operators.scaling import winsorized
 
@@ -37,6 +38,11 @@ def nunique_aggregates() -> dict[str, Column]:
     return {name: F.count_distinct(c) for c, name in NUNIQUE.items()}
 
 
+def nunique_in_one_task() -> dict[str, Column]:
+    """The same from sets, for clients whose rows are in one task: no row is multiplied, nothing is shuffled again."""
+    return {name: F.size(F.collect_set(c)).cast("long") for c, name in NUNIQUE.items()}
+
+
 def weekday_aggregates() -> dict[str, Column]:
     """Non-null counts per weekday; NULL where the client has no row on that weekday."""
     out = {}
@@ -95,9 +101,9 @@ def with_whole_clients(
     """``by_client`` with medians and distinct counts, which need all rows of a client.
 
     Clients of ordinary size come together in one exchange of the plain rows.
-    Distinct counts have an aggregation of their own: beside other aggregates
-    they would multiply the rows those see. Clients too large for one task
-    spread: distinct values are reduced before they meet, medians are counted.
+    Distinct counts have an aggregation of their own, over columns the other one
+    does not carry. Clients too large for one task spread: distinct values are
+    reduced before they meet, medians are counted.
     """
 
     def ordinary(rows: DataFrame) -> DataFrame:
@@ -105,7 +111,7 @@ def with_whole_clients(
         plain = {**aggregates, **(median_aggregates() if medians else {})}
         if not distinct:
             return by_client(together, plain)
-        counts = by_client(together, nunique_aggregates())
+        counts = by_client(together, nunique_in_one_task())
         return by_client(together, plain).join(counts, "client_id") if plain else counts
 
     def oversized(rows: DataFrame) -> DataFrame:
@@ -146,8 +152,12 @@ def net_difference(features: DataFrame) -> DataFrame:
 
 
 def winsorized_difference(features: DataFrame, rows: str = "n_rows", limits: Limits = DEFAULT) -> DataFrame:
-    """``net_difference`` cut at the percentiles over transactions: a client weighs by its row count."""
-    return winsorized(net_difference(features), ["delta_up_down"], weight=F.col(rows), limits=limits)
+    """``net_difference`` cut at the percentiles over transactions: a client weighs by its row count.
+
+    The client table is written out first: it is read for the percentiles and
+    again for its rows, and computing it reads all transactions.
+    """
+    return winsorized(pinned(net_difference(features)), ["delta_up_down"], weight=F.col(rows), limits=limits)
 
 
 def client_features(

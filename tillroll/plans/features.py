@@ -17,16 +17,17 @@ HELPERS = ["amount_up", "amount_down", "weekday", "trans_time", "trans_ts", "day
 
 
 def _assembled(df: DataFrame, features: DataFrame, stats: list[GroupStats], hot: Hot) -> DataFrame:
-    """Client features and group aggregates on every row; the rows are exchanged once, on ``client_id``."""
+    """Group aggregates and client features on every row; the rows are exchanged once, on ``client_id``.
+
+    The wide client features come last, so that the sorts of the windows do not carry them.
+    """
     if hot.keys is None:
-        return with_windows(df.join(features, "client_id"), stats, "client_id")
+        return with_windows(df, stats, "client_id").join(features, "client_id")
     cold_features, hot_features = hot.split(features)
     return hot.apply(
         df,
-        lambda rows: with_windows(rows.join(cold_features, "client_id"), stats, "client_id"),
-        lambda rows: with_lookups(
-            rows.join(F.broadcast(hot_features), "client_id"), stats, "client_id", hot.limit
-        ),
+        lambda rows: with_windows(rows, stats, "client_id").join(cold_features, "client_id"),
+        lambda rows: with_lookups(rows, stats, "client_id", hot.limit).join(F.broadcast(hot_features), "client_id"),
     )
 
 
