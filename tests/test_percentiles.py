@@ -49,7 +49,7 @@ def test_weights_repeat_values(values):
 
 
 def test_few_bins_need_more_passes(values, monkeypatch):
-    monkeypatch.setattr(P, "BINS", 4)
+    monkeypatch.setattr(P, "MAX_BINS", 4)
     want = as_lists(P.percentiles_by(values, F.col("v"), [0.3], ["g"]))
     got = as_lists(P.percentiles_by(values, F.col("v"), [0.3], ["g"], limits=HOT))
     assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got

@@ -145,13 +145,9 @@ def attach(
 
 
 def with_windows(df: DataFrame, stats: Sequence[GroupStats], anchor: str) -> DataFrame:
-    """For anchors of ordinary size: one exchange for all windows, whatever their further keys.
-
-    Every further key means one sort; the windows of the anchor alone come last
-    and find the rows in order.
-    """
+    """For anchors of ordinary size: one exchange for all windows, and one sort per key list."""
     columns = {}
-    for s in sorted(stats, key=lambda s: len(s.keys), reverse=True):
+    for s in stats:
         _check_anchor(s, anchor)
         in_group = reduce(and_, [F.col(k).isNotNull() for k in s.keys])
         window = Window.partitionBy(*s.keys)

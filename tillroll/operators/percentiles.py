@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tillroll.operators.hotkeys import DEFAULT, Limits, hot_keys
 from tillroll.operators.lineage import pinned
 
-BINS = 1024
+MAX_BINS = 1 << 16
+MAX_CELLS = 1 << 24
 
 
 def percentiles_by(
@@ -54,7 +55,6 @@ def _narrow(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
     the values present. A range of one value is the answer; as the lowest and the
     highest value never share a bin, every pass makes the ranges smaller.
     """
-    target_id = [*keys, "target"]
     position = F.col("probability") * (F.col("n") - 1)
     targets = (
         rows.groupBy(*keys)
@@ -83,23 +83,32 @@ def _narrow(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
     while True:
         found.append(targets.filter(F.col("low") == F.col("high")))
         targets = targets.filter(F.col("low") < F.col("high"))
-        if targets.isEmpty():
+        open_targets = targets.count()
+        if not open_targets:
             break
+        # ranges that several targets share are counted once; the bins of all ranges stay within MAX_CELLS
+        shared = [*keys, "low", "high"]
+        number = max(2, min(MAX_BINS, MAX_CELLS // open_targets))
         width = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
         bins = (
-            rows.join(F.broadcast(targets), list(keys))
+            rows.join(F.broadcast(targets.select(*shared).distinct()), list(keys))
             .filter(F.col("value").between(F.col("low"), F.col("high")))
-            .withColumn("bin", F.least(F.floor(width * BINS), F.lit(BINS - 1)))
-            .groupBy(*target_id, "rank", "fraction", "below", "bin")
-            .agg(F.sum("weight").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+            .groupBy(*shared, F.least(F.floor(width * number), F.lit(number - 1)).alias("bin"))
+            .agg(F.sum("weight").alias("n"), F.min("value").alias("bin_low"), F.max("value").alias("bin_high"))
         )
-        # at most BINS rows per target
-        upto = Window.partitionBy(*target_id).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        # at most MAX_BINS rows per range
+        upto = Window.partitionBy(*shared).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        counted = bins.withColumn("through", F.sum("n").over(upto)).join(F.broadcast(targets), shared)
+        through = F.col("below") + F.col("through")
         targets = pinned(
-            bins.withColumn("through", F.col("below") + F.sum("n").over(upto))
-            .filter((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("n")))
-            .select(
-                *target_id, "rank", "fraction", "low", "high", (F.col("through") - F.col("n")).alias("below")
+            counted.filter((F.col("rank") < through) & (F.col("rank") >= through - F.col("n"))).select(
+                *keys,
+                "target",
+                "rank",
+                "fraction",
+                F.col("bin_low").alias("low"),
+                F.col("bin_high").alias("high"),
+                (through - F.col("n")).alias("below"),
             )
         )
     answers = found[0]
