@@ -13,23 +13,26 @@ ANCHOR_DAY = 219
 EPOCH = ANCHOR_DATE - datetime.timedelta(days=ANCHOR_DAY)
 
 
+def part_of(text: Column, position: int) -> Column:
+    """Day, hour, minute or second (positions 0 to 3); NULL where the text has no such number."""
+    return F.get(F.split(F.translate(text, " ", ":"), ":"), F.lit(position)).try_cast("int")
+
+
 def day_of(text: Column) -> Column:
-    return F.split_part(text, F.lit(" "), F.lit(1)).try_cast("int")
+    return part_of(text, 0)
 
 
-def clock_of(text: Column) -> Column:
-    return F.split_part(text, F.lit(" "), F.lit(2))
+def hour_of(text: Column) -> Column:
+    return part_of(text, 1)
 
 
-def clock_part(clock: Column, position: int) -> Column:
-    return F.split_part(clock, F.lit(":"), F.lit(position)).try_cast("int")
+def clock_of(text: Column) -> Column:
+    return F.split_part(text, F.lit(" "), F.lit(2))
 
 
 def timestamp_of(text: Column) -> Column:
     """Epoch plus interval; second 60 rolls over into the next minute."""
-    clock = clock_of(text)
-    interval = F.make_dt_interval(day_of(text), clock_part(clock, 1), clock_part(clock, 2), clock_part(clock, 3))
-    return F.lit(EPOCH).cast("timestamp_ntz") + interval
+    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(*[part_of(text, i) for i in range(4)])
 
 
 def date_of(day: Column) -> Column:
@@ -48,7 +51,7 @@ def with_time_parts(df: DataFrame) -> DataFrame:
         {
             "day": day_of(text),
             "time": clock_of(text),
-            "hour": clock_part(clock_of(text), 1),
+            "hour": hour_of(text),
             "trans_ts": timestamp_of(text),
             "weekday": weekday_of(day_of(text)),
             "day_mod7": F.pmod(day_of(text), F.lit(7)),

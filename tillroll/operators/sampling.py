@@ -19,31 +19,24 @@ COPIES_PER_ROW = 1 << 20
 def exact_sample(df: DataFrame, n: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (per group of ``by``, if given) without replacement.
 
-    Rows are taken by rising hash of seed and content, so the draw depends on
-    the data alone. Equal rows count as one row with a number of copies. A count
-    over hash buckets finds the bucket in which the n-th row lies: lower buckets
-    are taken whole, and only that one bucket is put in order. Fails when a
-    group has fewer than ``n`` rows.
+    Rows are taken by hash of seed and content, so the draw depends on the data
+    alone. A count over hash buckets (with map-side combine) finds the bucket in
+    which the n-th row lies. Lower buckets are taken whole, straight from the
+    scan; only the rows of that one bucket are shuffled and put in order, equal
+    rows as one row with a number of copies. Fails when a group has fewer than
+    ``n`` rows.
     """
-    names = df.columns
-    keys = list(by)
-    rows = df.dropna(subset=keys) if keys else df
-    weighted = (
-        rows.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("copies"))
+    names, keys = df.columns, list(by)
+    rows = (
+        (df.dropna(subset=keys) if keys else df)
         .withColumn("draw", F.xxhash64(F.lit(seed), *names))
-        .withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
+        .withColumn("bucket", F.col("draw").bitwiseAND(F.lit(BUCKETS - 1)))
     )
-    if not keys:
-        keys = ["whole_table"]
-        weighted = weighted.withColumn("whole_table", F.lit(0))
     # at most BUCKETS rows per group
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     through = F.col("through")
-    buckets = pinned(
-        weighted.groupBy(*keys, "bucket")
-        .agg(F.sum("copies").alias("size"))
-        .withColumn("through", F.sum("size").over(upto))
+    buckets = (
+        rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size")).withColumn("through", F.sum("size").over(upto))
     )
     classes = pinned(
         buckets.groupBy(*keys).agg(
@@ -53,7 +46,7 @@ def exact_sample(df: DataFrame, n: int, by: Sequence[str] = (), seed: int = 0) -
     )
     if classes.count() > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} groups")
-    short = classes.filter(F.col("total") < n).first()
+    short = classes.filter(F.coalesce(F.col("total"), F.lit(0)) < n).first()
     if short is not None:
         raise ValueError(f"a group has fewer than {n} rows: {short.asDict()}")
     last = classes.select(
@@ -61,15 +54,22 @@ def exact_sample(df: DataFrame, n: int, by: Sequence[str] = (), seed: int = 0) -
         F.col("last.bucket").alias("last_bucket"),
         (F.lit(n) - F.col("last.through") + F.col("last.size")).alias("missing"),
     )
-    marked = weighted.join(F.broadcast(last), keys)
-    whole = marked.filter(F.col("bucket") < F.col("last_bucket")).withColumn("take", F.col("copies"))
-    order = Window.partitionBy(*keys).orderBy("draw", *names).rowsBetween(Window.unboundedPreceding, 0)
-    edge = marked.filter(F.col("bucket") == F.col("last_bucket")).withColumn(
-        "take",
-        F.least(F.col("copies"), F.col("missing") - F.sum("copies").over(order) + F.col("copies")),
+    if keys:
+        marked = rows.join(F.broadcast(last), keys)
+    else:
+        only = last.first()
+        marked = rows.withColumns({"last_bucket": F.lit(only["last_bucket"]), "missing": F.lit(only["missing"])})
+    whole = marked.filter(F.col("bucket") < F.col("last_bucket")).select(*names)
+    edge = (
+        marked.filter(F.col("bucket") == F.col("last_bucket"))
+        .groupBy(*names, "draw", "missing")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
-    taken = whole.select(*names, "take").unionByName(edge.filter(F.col("take") > 0).select(*names, "take"))
-    return repeated(taken, "take")
+    order = Window.partitionBy(*keys).orderBy("draw", *names).rowsBetween(Window.unboundedPreceding, 0)
+    taken = edge.withColumn(
+        "take", F.least(F.col("copies"), F.col("missing") - F.sum("copies").over(order) + F.col("copies"))
+    ).filter(F.col("take") > 0)
+    return whole.unionByName(repeated(taken.select(*names, "take"), "take"))
 
 
 def repeated(df: DataFrame, copies: str) -> DataFrame:
