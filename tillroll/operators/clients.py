@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import weekday_of
 from tillroll.operators.hotkeys import DEFAULT, Hot, Limits, hot_keys
-from tillroll.operators.lineage import pinned
+from tillroll.operators.lineage import written
 from tillroll.operators.percentiles import percentiles_by
 from tillroll.operators.scaling import winsorized
 
@@ -157,7 +157,7 @@ def winsorized_difference(features: DataFrame, rows: str = "n_rows", limits: Lim
     The client table is written out first: it is read for the percentiles and
     again for its rows, and computing it reads all transactions.
     """
-    return winsorized(pinned(net_difference(features)), ["delta_up_down"], weight=F.col(rows), limits=limits)
+    return winsorized(written(net_difference(features)), ["delta_up_down"], weight=F.col(rows), limits=limits)
 
 
 def client_features(

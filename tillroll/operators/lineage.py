@@ -1,8 +1,9 @@
-"""Small intermediate tables, written to the shared checkpoint folder."""
+"""Intermediate tables, written to the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder, so losing an executor loses nothing."""
+    """A small ``df`` computed once and written to the checkpoint folder, so losing an executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same for a table of any size that is read several times: Parquet, of which each reader takes its columns."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

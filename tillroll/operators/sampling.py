@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.hotkeys import MAX_HOT_KEYS
 from tillroll.operators.joins import of_clients
-from tillroll.operators.lineage import pinned
+from tillroll.operators.lineage import pinned, written
 
 BUCKETS = 1 << 16
 MAX_CLASSES = 10_000
@@ -99,7 +99,8 @@ def client_list(df: DataFrame) -> DataFrame:
 
 def holdout(df: DataFrame, n: int, per_gender: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Rows of all other clients, and rows of ``n`` clients held out (per gender, if asked for)."""
-    held = exact_sample(client_list(df), n, ["gender"] if per_gender else [], seed).select("client_id")
+    # written once, as both sides use the list, each perhaps many times
+    held = written(exact_sample(client_list(df), n, ["gender"] if per_gender else [], seed).select("client_id"))
     if n <= MAX_HOT_KEYS:
         held = F.broadcast(held)
     return df.join(held, "client_id", "left_anti"), of_clients(df, held)

@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.lineage import written
+
 LABEL = "gender"
 CATEGORICAL = ["mcc_code", "trans_type", "trans_city", "mcc_describe"]
 NOT_FEATURES = ["term_id", "client_id", LABEL]
@@ -56,8 +58,11 @@ def fit_boosted(
     seed: int = SEED,
     validation_share: float = 0.0,
 ) -> PipelineModel:
-    """Boosted trees on target-encoded categories; with a validation share, training stops when it no longer helps."""
-    data = prepared(features)
+    """Boosted trees on target-encoded categories; with a validation share, training stops when it no longer helps.
+
+    The features are written out first, since indexing, encoding and training each read them.
+    """
+    data = written(prepared(features))
     numeric = numeric_features(features)
     indexed, encoded = [f"{c}_index" for c in CATEGORICAL], [f"{c}_target" for c in CATEGORICAL]
     boosted = GBTClassifier(labelCol=LABEL, maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
@@ -83,7 +88,7 @@ def fit_boosted(
 
 def fit_forest(features: DataFrame, trees: int = 100, depth: int = FOREST_DEPTH, seed: int = SEED) -> PipelineModel:
     """Random forest on one-hot city and code group; the raw code is left out, missing numbers are 0."""
-    data = prepared(features, missing=0.0).withColumn("trans_type", F.col("trans_type").cast("double"))
+    data = written(prepared(features, missing=0.0).withColumn("trans_type", F.col("trans_type").cast("double")))
     numeric = [*numeric_features(features), "trans_type"]
     indexed, hot = [f"{c}_index" for c in ONE_HOT], [f"{c}_hot" for c in ONE_HOT]
     stages = [

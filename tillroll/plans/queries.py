@@ -13,6 +13,7 @@ from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients, cohort, habits, profile, sampling
 from tillroll.operators.hotkeys import Limits
 from tillroll.operators.joins import day_time, labelled, of_clients
+from tillroll.operators.lineage import written
 from tillroll.operators.scaling import minmax_scaled, winsorized
 from tillroll.plans import features, model
 from tillroll.sources import driver_tables as tables
@@ -267,7 +268,7 @@ def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = sampling.client_list(rows).count() // 5
     rest, held = sampling.holdout(rows, n, per_gender=False)
     bound = limits(spark, sf_dir)
-    known, unknown = features.scoring_features(rest, limits=bound), features.scoring_features(held, limits=bound)
+    known, unknown = (written(features.scoring_features(part, limits=bound)) for part in (rest, held))
     boosted = model.fit_boosted(known, iterations=3, rate=model.TRAINING_RATE, depth=3, validation_share=0.2)
     forest = model.fit_forest(known, trees=5, depth=5)
     scores = [
