@@ -71,10 +71,22 @@ def test_skew(spark):
 
 def test_nuniques(frame):
     got = {r["column_name"]: (r["n_all"], r["n_gender_0"], r["n_gender_1"]) for r in
-           cohort.nuniques_by_group(frame, "gender", [0, 1]).collect()}
+           cohort.nuniques_by_group(frame, "gender").collect()}
     assert got == {"gender": (2, 1, 1), "MCC": (3, 2, 2), "day": (5, 3, 3), "time": (6, 4, 3), "hour": (5, 3, 3)}
 
 
+def test_too_many_groups(spark):
+    with pytest.raises(ValueError, match="more than"):
+        cohort.group_values(spark.range(2000), "id")
+
+
+def test_count_slice(frame):
+    got = [(r["gender"], r["day"]) for r in cohort.count_slice(frame, 1, 4).collect()]
+    assert got == [(0, 3), (0, 8), (1, 1)]
+    by_day = [(r["day"], r["gender"]) for r in cohort.count_slice(frame, 0, 2, ("day", "gender")).collect()]
+    assert by_day == [(1, 0), (1, 1)]
+
+
 def test_described(frame):
     got = {r["gender"]: r for r in cohort.described(frame, "day", ["gender"]).collect()}
     assert (got[0]["n"], got[0]["min"], got[0]["p50"], got[0]["max"]) == (4, 1, 2.0, 8)

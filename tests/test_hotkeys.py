@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import habits, hotkeys
 from tillroll.operators.hotkeys import GroupStats, Limits, hot_keys, lookup, lookup_table
+from tillroll.operators.lineage import written
 
 # every client, only the larger ones, and none is hot
 SIZES = [3, 60, 10_000]
@@ -84,3 +85,10 @@ def test_code_count_drops_rows_without_code(skewed):
             F.count(F.lit(1)).alias("n"), F.min("mcc_code_count").alias("a"), F.max("mcc_code_count").alias("b")
         ).filter((F.col("n") != F.col("a")) | (F.col("n") != F.col("b")))
         assert wrong.isEmpty()
+
+
+def test_written_tables_lie_in_the_checkpoint_folder(spark, skewed):
+    back = written(skewed)
+    folder = spark.sparkContext.getCheckpointDir()
+    assert all(f.startswith(folder.replace("file:", "file://")) for f in back.inputFiles())
+    assert back.dtypes == skewed.dtypes and back.count() == skewed.count()

@@ -13,6 +13,7 @@ from tillroll.operators.percentiles import percentiles_by
 
 HOURS = range(24)
 QUARTILES = [0.25, 0.5, 0.75]
+MAX_GROUPS = 1000
 
 
 def non_null_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,6 +39,11 @@ def day_slice(df: DataFrame, first: int, last: int) -> DataFrame:
     return non_null_counts(df.filter(F.col("day").between(first, last)), ["gender", "day"])
 
 
+def count_slice(df: DataFrame, first: int, last: int, keys: Sequence[str] = ("gender", "day")) -> DataFrame:
+    """Lines ``first`` up to but not including ``last`` of the non-null counts in the order of ``keys``."""
+    return non_null_counts(df, keys).orderBy(*keys).offset(first).limit(last - first)
+
+
 def hour_profile(df: DataFrame) -> DataFrame:
     """Counts on a full 0..23 axis per gender; hours without a transaction are 0."""
     wide = df.groupBy("gender").agg(F.array(*[F.count_if(F.col("hour") == h) for h in HOURS]).alias("counts"))
@@ -117,12 +123,23 @@ def exclusive_codes(df: DataFrame) -> DataFrame:
     )
 
 
-def nuniques_by_group(df: DataFrame, grouper: str, groups: Sequence[int]) -> DataFrame:
+def group_values(df: DataFrame, grouper: str) -> list:
+    """The non-null values of a column that forms few groups."""
+    found = df.select(grouper).dropna().distinct().limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"{grouper} has more than {MAX_GROUPS} values")
+    return sorted(row[0] for row in found)
+
+
+def nuniques_by_group(df: DataFrame, grouper: str, groups: Sequence | None = None) -> DataFrame:
     """Distinct non-null values of every column: over all rows and per group, one line per column.
 
     Values are reduced to distinct (column, value) pairs with a flag per group
-    first, so no task gathers the values of a column.
+    first, so no task gathers the values of a column. Each group is one column
+    of the result; without ``groups`` they are looked up.
     """
+    if groups is None:
+        groups = group_values(df, grouper)
     cells = df.select(
         F.col(grouper).alias("group_key"),
         F.explode(

@@ -11,9 +11,11 @@ from tillroll.plans.queries import (
     BARS,
     CAR_PARTS,
     FIRST_DAY,
+    FIRST_LINE,
     FLOWERS,
     HISTOGRAM_BINS,
     LAST_DAY,
+    LAST_LINE,
     MENSWEAR,
     PEAK_DAYS,
     WOMENSWEAR,
@@ -345,6 +347,8 @@ ORACLE_SQL: dict[str, str] = {
     f"ORDER BY n DESC, day, gender LIMIT {PEAK_DAYS}",
     "day_slice": f"{COHORT} SELECT gender, day, count(MCC) AS MCC, count(time) AS time, count(hour) AS hour FROM dt "
     f"WHERE day BETWEEN {FIRST_DAY} AND {LAST_DAY} GROUP BY gender, day",
+    "gender_day_slice": f"{COHORT} SELECT gender, day, count(MCC) AS MCC, count(time) AS time, count(hour) AS hour "
+    f"FROM dt GROUP BY gender, day ORDER BY gender, day LIMIT {LAST_LINE - FIRST_LINE} OFFSET {FIRST_LINE}",
     "day_mod7_counts": f"{COHORT} SELECT day % 7 AS day_mod7, count(MCC) AS n FROM dt GROUP BY 1",
     "mcc_day_mod7_counts": f"{COHORT} SELECT MCC, day % 7 AS day_mod7, count(*) AS n FROM dt "
     f"WHERE MCC IN ({BARS}, {MENSWEAR}) GROUP BY 1, 2",

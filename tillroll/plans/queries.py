@@ -21,9 +21,10 @@ from tillroll.sources import driver_tables as tables
 Query = Callable[[SparkSession, str], DataFrame]
 SIDES = list(clients.SIDES)
 
-# The codes and the day range the cohort questions ask about.
+# The codes, days and lines the cohort questions ask about.
 FLOWERS, BARS, MENSWEAR, CAR_PARTS, WOMENSWEAR = 5992, 5813, 5611, 5532, 5621
 FIRST_DAY, LAST_DAY = 150, 185
+FIRST_LINE, LAST_LINE = 300, 370
 
 HISTOGRAM_BINS = 40
 PEAK_DAYS = 20
@@ -318,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "hour_profile": lambda s, d: cohort.hour_profile(cohort_rows(s, d)),
     "mcc_peak_days": mcc_peak_days,
     "day_slice": lambda s, d: cohort.day_slice(cohort_rows(s, d), FIRST_DAY, LAST_DAY),
+    "gender_day_slice": lambda s, d: cohort.count_slice(cohort_rows(s, d), FIRST_LINE, LAST_LINE),
     "day_mod7_counts": lambda s, d: cohort.day_mod7_counts(cohort_rows(s, d)),
     "mcc_day_mod7_counts": lambda s, d: cohort.code_day_mod7_counts(cohort_rows(s, d), [BARS, MENSWEAR]),
     "day_mod7_groups": lambda s, d: cohort.day_mod7_groups(cohort_rows(s, d), BARS),
@@ -329,7 +331,7 @@ QUERIES: dict[str, Query] = {
     "gender_skew_by_mcc": lambda s, d: cohort.gender_skew(train(s, d)),
     "gender_skew_joined": lambda s, d: cohort.with_gender_skew(train(s, d), limits(s, d)).select("client_id", "mcc_code", "amount", "dif"),
     "exclusive_mcc": exclusive_mcc,
-    "nuniques_by_group": lambda s, d: cohort.nuniques_by_group(cohort_rows(s, d), "gender", [0, 1]),
+    "nuniques_by_group": lambda s, d: cohort.nuniques_by_group(cohort_rows(s, d), "gender"),
     "describe_amount_by_gender": describe_amount_by_gender,
     "mcc_histogram": lambda s, d: cohort.code_histogram(cohort_rows(s, d), HISTOGRAM_BINS),
     "null_profile": lambda s, d: profile.null_profile(train(s, d)),
