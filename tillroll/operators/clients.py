@@ -142,8 +142,14 @@ def weekday_counts(df: DataFrame) -> DataFrame:
 
 
 def weekday_pivot(df: DataFrame) -> DataFrame:
-    """The same with one column per side and weekday, in one aggregation."""
-    return by_client(df, weekday_aggregates())
+    """The same with one column per side and weekday.
+
+    The long form comes first, so that a transaction feeds two counts instead of one per cell.
+    """
+    cells = {
+        f"{c}_weekday_{d}": F.max(F.when(F.col("weekday") == d, F.col(c))) for c in SIDES for d in WEEKDAYS
+    }
+    return by_client(weekday_counts(df), cells)
 
 
 def net_difference(features: DataFrame) -> DataFrame:
