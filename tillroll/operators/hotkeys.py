@@ -17,7 +17,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.lineage import pinned
+from tillroll.operators.lineage import pinned, written
 
 GROUP_ROWS = 1_000_000
 MAX_HOT_KEYS = 500_000
@@ -110,7 +110,7 @@ def lookup(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, limit
 
 def lookup_table(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, limits: Limits = DEFAULT) -> DataFrame:
     """``lookup`` of a table whose size is not known: counted first, and broadcast whole where it is small."""
-    side = pinned(side)
+    side = written(side)
     sizes = side.agg(F.count(F.lit(1)).alias("keys"), F.sum(rows).alias("rows")).first()
     if sizes["keys"] <= MAX_HOT_KEYS:
         return df.join(F.broadcast(side.drop(rows)), list(keys), "left")
