@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tillroll.llm.ngram_join import op3_ngram_jaccard
+from tillroll.llm.packing import op10_best_fit_packing
 from tillroll.llm.quality import op4_quality_rules
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
