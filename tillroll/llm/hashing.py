@@ -78,9 +78,14 @@ def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> It
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: White space and ASCII punctuation: what parts words where marks don't count.
+MARKS = SPACE.copy()
+MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the place of its first word (one more for the end)."""
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     start, stop = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     stop[:-1] &= ~solid[1:]
@@ -92,9 +97,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, np.flatnonzero(stop) + 1, np.searchsorted(begin, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words, A-Z taken as a-z, and the place of each text's first word."""
-    begin, end, place = words(data, offsets)
+    begin, end, place = words(data, offsets, gaps)
     return mix(range_hash(prefix_hash(LOWER[data]), begin, end) + (end - begin).astype(U)), place
 
 

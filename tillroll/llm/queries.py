@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
 from tillroll.llm.packing import op10_best_fit_packing
 from tillroll.llm.quality import op4_quality_rules
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
