@@ -197,6 +197,18 @@ def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      pa.array(own + np.arange(m, dtype=np.int64))], ["key", "node", "n", "own", "pos"])
 
 
+def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, own = batch.column("n").to_pylist(), batch.column("own").to_pylist()
+        found = [
+            np.frombuffer(keys, U)[: prefix_length(x) - o].view(np.int64)
+            for x, o, keys in zip(n, own, batch.column("keys").to_pylist(), strict=True)
+        ]
+        after = [x - prefix_length(x) for x in n]
+        yield pa.record_batch([batch.column("node"), pa.array(after, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                              ["node", "after", "prefix"])
+
+
 def least_overlap(a: Column, b: Column) -> Column:
     return F.ceil(PERCENT * (a + b) / (100 + PERCENT))
 
@@ -211,7 +223,7 @@ def pairs_of(rows: DataFrame) -> DataFrame:
         F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"),
         F.count("*").alias("common"),
     )
-    room = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     return pairs.filter(room >= least_overlap(F.col("n_a"), F.col("n_b")))
 
 
@@ -277,26 +289,36 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # What is left: pairs of the index in different components.
     placed = written(
         index.join(spread.withColumnRenamed("id", "node"), "node", "left").select(
-            "key", "node", "n", "pos", F.coalesce("component", "node").alias("component")
+            "key", "node", "n", "own", "pos", F.coalesce("component", "node").alias("component")
         )
     )
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("n_parts"), F.max(F.struct("size", "component")).alias("top")).filter(
         "n_parts > 1").select("key", F.col("top.component").alias("largest"))
-    rest = placed.join(mixed, "key")
+    rest = placed.join(mixed.withColumn("component_largest", F.col("largest")), "key")
+    # A row carries its document's prefix, so that the join lets a pair through at its first common key alone, and only if the
+    # common keys of the prefixes and what follows the shorter-reaching prefix can still add up.
+    rest = rest.withColumn("before", F.col("pos") - F.col("own")).join(
+        active.mapInArrow(prefix_rows, "node long, after long, prefix array<long>"), "node")
+    sides = ["node", "n", "pos", "component", "before", "after", "prefix"]
     left = rest.filter("component <> largest").select(
-        "key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component")])
-    right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component")])
+        "key", "component_largest", *[F.col(c).alias(f"{c}_a") for c in sides])
+    right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in sides])
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    earlier = [F.slice(f"prefix_{x}", F.lit(1), F.col(f"before_{x}").cast("int")) for x in "ab"]
+    reach = F.element_at("prefix_a", -1) <= F.element_at("prefix_b", -1)
+    in_both = F.size(F.array_intersect("prefix_a", "prefix_b"))
     met = left.join(right, "key").filter(
-        (F.col("component_a") != F.col("component_b")) & similar_sizes(F.col("n_a"), F.col("n_b")))
-    swap = F.col("node_a") > F.col("node_b")
-    one_way = met.select(
-        *[F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{name}_a" if name else "a")
-          for c, name in (("node", ""), ("n", "n"), ("pos", "pos"))],
-        *[F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{name}_b" if name else "b")
-          for c, name in (("node", ""), ("n", "n"), ("pos", "pos"))],
+        (F.col("component_a") != F.col("component_b"))
+        # Between two smaller components the pair comes up from both sides: one is enough.
+        & ((F.col("component_b") == F.col("component_largest")) | (F.col("node_a") < F.col("node_b")))
+        & similar_sizes(n_a, n_b)
+        & (F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b")) >= least_overlap(n_a, n_b))
+        & ~F.arrays_overlap(*earlier)
+        & (in_both + F.when(reach, F.col("after_a")).otherwise(F.col("after_b")) >= least_overlap(n_a, n_b))
     )
-    more = links_of(pairs_of(one_way), active)
+    one_way = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").dropDuplicates(["a", "b"])
+    more = links_of(one_way, active)
     final = components(links.unionByName(more))
 
     named = classes.join(final.withColumnRenamed("id", "node"), "node", "left").select(
