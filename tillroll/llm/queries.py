@@ -6,9 +6,11 @@ from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
 from tillroll.llm.packing import op10_best_fit_packing
 from tillroll.llm.quality import op4_quality_rules
+from tillroll.llm.secrets import op5_secret_scan
 from tillroll.llm.surrogates import op9_pii_surrogates
 
 QUERIES = {
+    "op5_secret_scan": op5_secret_scan,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
