@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillroll.llm.chat import op1_chat_formatting
 from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
 from tillroll.llm.packing import op10_best_fit_packing
@@ -10,6 +11,7 @@ from tillroll.llm.secrets import op5_secret_scan
 from tillroll.llm.surrogates import op9_pii_surrogates
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op5_secret_scan": op5_secret_scan,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op2_decontamination": op2_decontamination,
