@@ -44,8 +44,8 @@ def text_key(text: Column) -> list[Column]:
 
 
 def groups_for(df: DataFrame) -> int:
-    """Groups of texts: about one for each shuffle partition, which the user sizes to the data."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Groups of texts: two for each shuffle partition (which the user sizes to the data), so that a Python worker holds half of one."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def local_copies_dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
