@@ -7,11 +7,13 @@ from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
 from tillroll.llm.packing import op10_best_fit_packing
 from tillroll.llm.quality import op4_quality_rules
+from tillroll.llm.repeats import op7_suffix_dedup
 from tillroll.llm.secrets import op5_secret_scan
 from tillroll.llm.surrogates import op9_pii_surrogates
 from tillroll.llm.warc import op6_warc
 
 QUERIES = {
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op6_warc": op6_warc,
     "op1_chat_formatting": op1_chat_formatting,
     "op5_secret_scan": op5_secret_scan,
