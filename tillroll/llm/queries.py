@@ -10,9 +10,11 @@ from tillroll.llm.quality import op4_quality_rules
 from tillroll.llm.repeats import op7_suffix_dedup
 from tillroll.llm.secrets import op5_secret_scan
 from tillroll.llm.surrogates import op9_pii_surrogates
+from tillroll.llm.toxicity import op8_toxicity
 from tillroll.llm.warc import op6_warc
 
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op6_warc": op6_warc,
     "op1_chat_formatting": op1_chat_formatting,
