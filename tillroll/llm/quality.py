@@ -166,7 +166,10 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 def passed(docs: DataFrame) -> DataFrame:
     """The stage of the pipeline: documents that pass, with the failing lines gone from their text."""
     names = docs.columns
-    out = quality(docs).filter("kept")
+    # The optimizer would push the verdict below the expressions that it is made of, and write them out once for each use;
+    # a number that isn't deterministic keeps the filter where it is.
+    judged = quality(docs).withColumn("_q_row", F.monotonically_increasing_id())
+    out = judged.filter("kept AND _q_row >= 0")
     return out.select(
         *[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias("n_chars")
           if c == "n_chars" else F.col(c) for c in names]
