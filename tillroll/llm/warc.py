@@ -76,16 +76,17 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): what each page is written as."""
+    """(page_id, url, payload, digest, refers_to): each page with its payload and, where it is a revisit, one row more for its
+    (page_id, digest, url) that has no payload and says what to refer to. So payloads take part in no join."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    return rows.join(first, "digest", "left").select(
-        "page_id", "url", "payload", "digest",
-        F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("refers_to"),
-    )
+    large = rows.filter(F.octet_length("payload") >= REVISIT_BYTES)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
+    revisits = large.select("page_id", "url", "digest").distinct().join(first.drop("n"), "digest").filter(
+        ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(
+        revisits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "refers_to"))
 
 
 MANIFEST = "shard int, file int, temporary string, name string, records long, bytes long, sha256 string"
@@ -102,6 +103,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         system, path = opened(folder)
         out, digest, rows, current = None, None, [], []
+        named, target = None, None
 
         def close() -> None:
             nonlocal out
@@ -118,6 +120,9 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
 
         for batch in batches:
             for page_id, url, payload, sha, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if payload is None:
+                    named, target = (page_id, sha, url), refers_to
+                    continue
                 if out is None:
                     number = len(rows)
                     name = f"pages-{shard:05d}-{number:05d}.warc.gz"
@@ -126,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
                     out, digest = system.open_output_stream(f"{path}/{current[2]}", compression=None), hashlib.sha256()
                     put(record("warcinfo", [("WARC-Record-ID", record_id("warcinfo", number, name)), ("WARC-Filename", name),
                                             ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", date), 0)
-                put(page_record(page_id, url, payload, sha, refers_to, date), 1)
+                put(page_record(page_id, url, payload, sha, target if named == (page_id, sha, url) else None, date), 1)
                 if current[5] >= file_bytes:
                     close()
         close()
@@ -144,7 +149,9 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
                     raise FileNotFoundError(f"{path}/{name}")
             yield batch
 
-    spread = planned(pages).repartitionByRange(n, "page_id", "digest", "url").sortWithinPartitions("page_id", "digest", "url")
+    # equal keys stay together and nulls come first, so a page follows the row that says what it refers to
+    spread = planned(pages).repartitionByRange(n, "page_id", "digest", "url").sortWithinPartitions(
+        "page_id", "digest", "url", F.col("payload").isNotNull())
     long = "shard long, file long, temporary string, name string, records long, bytes long, sha256 string"
     spread.mapInArrow(write, long).write.parquet(f"{folder}/written")
     spark.read.parquet(f"{folder}/written").mapInArrow(commit, long).write.parquet(f"{folder}/manifest")
