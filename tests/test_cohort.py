@@ -110,3 +110,19 @@ def test_ranges(frame):
     row = cohort.day_range(frame).first()
     assert (row["first_day"], row["last_day"], str(row["last_date"])) == (1, 8, "2019-08-10")
     assert tuple(cohort.class_balance(frame.filter(F.col("MCC").isNotNull())).first()) == (4, 3, 1)
+
+
+def test_missing_keys_are_in_no_group(spark):
+    rows = [(None, 5, 1, "01:00:00", 1), (0, 5, None, "01:00:00", 1), (0, 5, 8, "02:00:00", None), (0, None, 9, "02:00:00", 2)]
+    df = spark.createDataFrame(rows, "gender int, MCC int, day int, time string, hour int")
+    assert as_set(cohort.code_counts(df, ["gender", "day"], [5])) == {(5, 0, 8, 1)}
+    profile_rows = cohort.hour_profile(df).collect()
+    assert len(profile_rows) == 24 and {r["gender"] for r in profile_rows} == {0}
+    assert as_set(cohort.day_mod7_counts(df)) == {(1, 2), (2, 0)}
+    assert as_set(cohort.peak_days(df, 5)) == {(0, 8, 1)}
+
+
+def test_slice_without_an_end(frame):
+    whole = [tuple(r) for r in cohort.count_slice(frame, 0).collect()]
+    assert [tuple(r) for r in cohort.count_slice(frame, 2).collect()] == whole[2:]
+    assert [tuple(r) for r in cohort.count_slice(frame, 1, 3).collect()] == whole[1:3]

@@ -55,6 +55,33 @@ def test_few_bins_need_more_passes(values, monkeypatch):
     assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got
 
 
+def test_any_distribution_ends_in_four_passes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    groups = {
+        0: [*rng.normal(0, 1, 50), float("inf")],
+        1: [*rng.normal(0, 1, 50), float("nan"), float("-inf")],
+        2: [1.7e308, -1.7e308, 1.0, 2.0, -0.0, 0.0],
+        3: [float(s * 10.0**e) for e in range(-307, 308, 3) for s in (-1, 1)],
+        4: [3.25] * 40,
+        5: [float("nan")] * 3,
+        6: [5e-324, -5e-324, 1.0, float(np.nextafter(1.0, 2.0))],
+    }
+    rows = [(g, float(v), 1 + i % 3) for g, values in groups.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g int, v double, w int")
+    passes = []
+    monkeypatch.setattr(P, "pinned", lambda x, real=P.pinned: passes.append(1) or real(x))
+    for weight in (None, F.col("w")):
+        want = as_lists(P.percentiles_by(df, F.col("v"), PROBABILITIES, ["g"], weight))
+        passes.clear()
+        found = P._narrow(
+            df.select("g", F.col("v").alias("value"), (F.lit(1) if weight is None else weight).cast("long").alias("weight")),
+            ["g"], PROBABILITIES,
+        )
+        assert len(passes) <= 1 + 4
+        got = as_lists(found)
+        assert {g: pytest.approx(v, rel=1e-12, nan_ok=True) for g, v in want.items()} == got
+
+
 def test_whole_table(values):
     plain = P.percentiles_by(values, F.col("v"), [0.5]).first()["percentiles"]
     counted = P.percentiles_by(values, F.col("v"), [0.5], limits=HOT).first()["percentiles"]

@@ -23,8 +23,9 @@ def non_null_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def code_counts(df: DataFrame, keys: Sequence[str], codes: Sequence[int]) -> DataFrame:
-    """Transactions of the given codes per code and group; the filter reaches the scan."""
-    return df.filter(F.col("MCC").isin(list(codes))).groupBy("MCC", *keys).agg(F.count("MCC").alias("n"))
+    """Transactions of the given codes per code and group; the filter reaches the scan. A NULL key is in no group."""
+    kept = df.filter(F.col("MCC").isin(list(codes)))
+    return (kept.dropna(subset=list(keys)) if keys else kept).groupBy("MCC", *keys).agg(F.count("MCC").alias("n"))
 
 
 def peak_days(df: DataFrame, code: int, n: int | None = None) -> DataFrame:
@@ -39,19 +40,20 @@ def day_slice(df: DataFrame, first: int, last: int) -> DataFrame:
     return non_null_counts(df.filter(F.col("day").between(first, last)), ["gender", "day"])
 
 
-def count_slice(df: DataFrame, first: int, last: int, keys: Sequence[str] = ("gender", "day")) -> DataFrame:
-    """Lines ``first`` up to but not including ``last`` of the non-null counts in the order of ``keys``."""
-    return non_null_counts(df, keys).orderBy(*keys).offset(first).limit(last - first)
+def count_slice(df: DataFrame, first: int, last: int | None = None, keys: Sequence[str] = ("gender", "day")) -> DataFrame:
+    """Lines ``first`` up to but not including ``last`` (all, if not given) of the non-null counts in the order of ``keys``."""
+    rest = non_null_counts(df, keys).orderBy(*keys).offset(first)
+    return rest if last is None else rest.limit(last - first)
 
 
 def hour_profile(df: DataFrame) -> DataFrame:
-    """Counts on a full 0..23 axis per gender; hours without a transaction are 0."""
-    wide = df.groupBy("gender").agg(F.array(*[F.count_if(F.col("hour") == h) for h in HOURS]).alias("counts"))
+    """Counts on a full 0..23 axis per gender; hours without a transaction are 0. A NULL gender is in no group."""
+    wide = df.dropna(subset=["gender"]).groupBy("gender").agg(F.array(*[F.count_if(F.col("hour") == h) for h in HOURS]).alias("counts"))
     return wide.select("gender", F.posexplode("counts").alias("index_hour", "n"))
 
 
 def day_mod7_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy(F.pmod("day", F.lit(7)).alias("day_mod7")).agg(F.count("MCC").alias("n"))
+    return df.dropna(subset=["day"]).groupBy(F.pmod("day", F.lit(7)).alias("day_mod7")).agg(F.count("MCC").alias("n"))
 
 
 def code_day_mod7_counts(df: DataFrame, codes: Sequence[int]) -> DataFrame:

@@ -117,7 +117,7 @@ def predicted_by_forest(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str = "probability") -> float:
-    """Area under the ROC curve of a score column against the label."""
-    return BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol=score, metricName="areaUnderROC").evaluate(
+    """Area under the ROC curve of a score column against the label, with a point for every distinct score."""
+    return BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol=score, metricName="areaUnderROC", numBins=0).evaluate(
         scored.withColumn(score, F.col(score).cast("double"))
     )

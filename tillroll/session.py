@@ -11,6 +11,8 @@ def session(app: str = "tillroll", master: str | None = None, conf: dict[str, st
     ``spark.shuffle.accurateBlockSkewedFactor`` keeps the true size of skewed
     shuffle blocks in large map statuses, without which the adaptive skew split
     cannot see a hot key once a stage has more than 2000 reducers.
+    ``forceOptimizeSkewedJoin`` splits it even where an aggregation after the
+    join then needs an exchange of its own.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -19,6 +21,7 @@ def session(app: str = "tillroll", master: str | None = None, conf: dict[str, st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.shuffle.accurateBlockSkewedFactor": "5.0",
         "spark.sql.autoBroadcastJoinThreshold": "64MB",
