@@ -5,19 +5,21 @@ import zlib
 from tests.conftest import SMALL
 from tillroll.llm import toxicity as t
 
-MIDDLE = SMALL.replace("0.001", "0.01")
+#: The next smaller table has 6 toxic documents that are held out, this one 97.
+LARGE = SMALL.replace("0.001", "0.1")
 
 
 def test_held_out_accuracy(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
-    rows = t.op8_toxicity(spark, MIDDLE).collect()
-    assert len(rows) == spark.read.parquet(f"{MIDDLE}/documents.parquet").count()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect()}
+    rows = t.op8_toxicity(spark, LARGE).collect()
+    assert len(rows) == spark.read.parquet(f"{LARGE}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
     bad, good = [x for x, y in held if y], [x for x, y in held if not y]
     wins = sum((a > b) + 0.5 * (a == b) for a in bad for b in good)
     assert wins / (len(bad) * len(good)) > 0.9
+    assert sum(x >= 0.5 for x in bad) >= 0.6 * len(bad) and sum(x >= 0.5 for x in good) <= 0.02 * len(good)
 
 
 def test_held_out_labels_and_other_columns_do_not_matter(spark):
