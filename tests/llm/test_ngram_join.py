@@ -51,6 +51,19 @@ def test_near_copies_chains_and_case(spark, rng):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == by_hand(docs)
 
 
+def test_a_passage_in_more_than_2048_texts(spark):
+    rare, hot, other = ([f"{x}{k}" for k in range(30)] for x in "rhq")
+    rare = rare[:10]
+    # Two of unequal size (36 of 40 shingles shared); document 1 is the leader of their rare shingles and similar to neither.
+    docs = [(1, rare + other), (2, rare + hot), (3, rare + hot + ["e1", "e2", "e3", "e4"])]
+    docs += [(10 + i, rare[-4:] + other + [f"o{i}x{k}" for k in range(60)]) for i in range(5)]
+    docs += [(100 + i, rare[-4:] + hot + [f"n{i}x{k}" for k in range(60)]) for i in range(2100)]
+    docs = [(i, " ".join(words)) for i, words in docs]
+    rows = similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    assert got == by_hand(docs) and got[3] == (40, 2)
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = similar_documents(odd_docs).collect()
     assert Counter((r.doc_id, r.component_id) for r in rows) == Counter(

@@ -34,8 +34,8 @@ from tillroll.operators.lineage import written
 PERCENT = 80
 HASH_BITS = 52
 HASH_MASK = U((1 << HASH_BITS) - 1)
-#: Frequencies from here on are ordered by hash alone.
-TOP_FREQUENCY = (1 << (64 - HASH_BITS)) - 1
+#: Frequencies from here on are ordered by hash alone. The top bit stays clear, so that keys have one order, signed or not.
+TOP_FREQUENCY = (1 << (63 - HASH_BITS)) - 1
 
 
 def text_key(text: Column) -> list[Column]:
