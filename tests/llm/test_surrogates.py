@@ -44,3 +44,22 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert s.anonymous(odd_docs).columns == odd_docs.columns
     assert sorted(map(str, s.anonymous(odd_docs).select("doc_id", "text").collect())) == sorted(map(str, odd_docs.select("doc_id", "text").collect()))
     assert s.anonymous(no_docs).count() == 0 and s.collisions(no_docs).isEmpty()
+
+
+def test_names_keep_their_surrogate_under_any_title(spark):
+    names = [*s.FIRST_F, *s.FIRST_M, "Schmidt", "Otto", "Mia", "Alina"]
+    titles = ["Dr", "Prof", "Mrs", "Frau", "Mr", "Herr"]
+    docs = spark.createDataFrame([(i, f"{t} {n} {m}") for i, (t, n, m) in enumerate((t, n, m) for t in titles for n in names for m in ("met", "Braun"))],
+                                 "doc_id long, text string")
+    rows = {r.text: r.entities for r in docs.join(s.pseudonymised(docs).select("doc_id", "entities"), "doc_id").collect()}
+    new = {n: {rows[f"{t} {n} met"][0].surrogate for t in titles} for n in names}
+    assert all(len(x) == 1 for x in new.values())  # "Dr Anna" beside "Frau Anna"
+    assert len(set.union(*new.values())) == len(names)
+    assert rows["Dr Thomas met"][0].surrogate in s.FIRST_M and rows["Mrs Martin met"][0].surrogate in s.FIRST_M
+    assert s.collisions(docs).isEmpty()
+
+
+def test_both_kinds_of_clashes(spark):
+    found = spark.createDataFrame([("name", "a", "x"), ("name", "b", "x"), ("name", "c", "y"), ("name", "c", "z"), ("ip", "a", "q")],
+                                  "kind string, original string, surrogate string")
+    assert sorted(map(tuple, s.clashes(found).collect())) == [("name", "original", "c", 2), ("name", "surrogate", "x", 2)]

@@ -6,8 +6,9 @@ A replacement is a keyed *permutation* of all values of the entity's format (a F
 may not come out are walked past). So one original has one surrogate wherever it stands (coreference), two originals of a format never
 share one, and formats are kept, so that two formats can't meet either (distinctness). No table of entities has to be kept or
 joined, and a lost task is simply run again. Digits stay digits, letters stay in their alphabet and case, the check digit of a valid
-card is made anew, addresses stay private or public, a woman's name becomes a woman's name. ``collisions`` checks that over
-all entities of a table with a shuffle of the distinct ones.
+card is made anew, addresses stay private or public, a woman's name becomes a woman's name (by the name, not by its title, so
+that a name has one surrogate under all titles). ``collisions`` checks both claims over all entities of a table with a shuffle of the
+distinct ones.
 
 The text around entities is untouched. Overlapping finds: the earlier start wins, then the order of the kinds as listed.
 
@@ -121,10 +122,11 @@ def ip_surrogate(text: str, key: bytes) -> str:
             return ".".join(str(x).zfill(p) for x, p in zip(new, padded, strict=True))
 
 
-def name_word(word: str, gender: str, key: bytes) -> str:
-    pool = POOLS.get(gender, [])
-    if word in pool:
-        return pool[permuted(pool.index(word), len(pool), key, f"pool|{gender}")]
+def name_word(word: str, key: bytes) -> str:
+    """A name of a pool becomes one of the same pool, whatever its title says; other words skip both pools."""
+    for gender, pool in POOLS.items():
+        if word in pool:
+            return pool[permuted(pool.index(word), len(pool), key, f"pool|{gender}")]
     return same_format(word, key, "name", lambda x: x in FIRST_F or x in FIRST_M)
 
 
@@ -134,6 +136,7 @@ def gender_of(title: str) -> str:
 
 
 def surrogate(kind: str, original: str, key: bytes, gender: str = "x") -> str:
+    """The title's ``gender`` doesn't count: one name has one surrogate under any title."""
     if kind == "email":
         # All addresses of a domain stay together, and those of different domains apart.
         local, _, domain = original.rpartition("@")
@@ -149,7 +152,7 @@ def surrogate(kind: str, original: str, key: bytes, gender: str = "x") -> str:
     if kind == "iban":
         return original[:2] + same_format(original[2:], key, f"iban|{original[:2]}")
     if kind == "name":
-        return " ".join(name_word(x, gender, key) for x in original.split(" "))
+        return " ".join(name_word(x, key) for x in original.split(" "))
     return same_format(original, key, kind)
 
 
@@ -220,10 +223,17 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text") -> Data
     return kept.mapInArrow(replace, schema)
 
 
+def clashes(found: DataFrame) -> DataFrame:
+    """(kind, side, value, others) of distinct rows (kind, original, surrogate): values that go with two of the other side or more."""
+    sides = [F.struct(F.lit(x).alias("side"), F.col(x).alias("value")) for x in ("original", "surrogate")]
+    return found.select("kind", F.explode(F.array(*sides)).alias("at")).groupBy("kind", "at.side", "at.value").agg(
+        F.count("*").alias("others")).filter("others > 1")
+
+
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, surrogate, originals): surrogates that stand for two different originals; there should be none.
+    """(kind, side, value, others): surrogates of two different originals and originals with two surrogates; there should be none.
 
-    Originals are compared by hash; equal ones are counted once before the shuffle.
+    Equal pairs are counted once before the shuffle.
     """
     secret = derived_key(key)
 
@@ -236,15 +246,14 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] or [pa.array([], pa.string())] * 3,
                                   ["kind", "original", "surrogate"])
 
-    found = docs.select("text").mapInArrow(pairs, "kind string, original string, surrogate string").distinct()
-    return found.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).filter("originals > 1")
+    return clashes(docs.select("text").mapInArrow(pairs, "kind string, original string, surrogate string").distinct())
 
 
 def op9_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     if not collisions(docs).isEmpty():
-        raise ValueError("two entities share a surrogate")
+        raise ValueError("two entities share a surrogate, or one has two")
     return pseudonymised(docs).select(
         "doc_id", "text", "n_entities", F.to_json("entities").alias("entities")
     )
