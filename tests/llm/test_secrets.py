@@ -72,3 +72,30 @@ def test_allow_list():
     assert not secrets.suspicious(b"onlyletterswithoutdigits")
     assert not secrets.suspicious(b"12345678901234567890")
     assert secrets.suspicious(b"q8Zr2LmX0vTn5KcY7bWd")
+
+
+def test_the_allow_list_takes_windows_not_candidates(rng):
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = b"q8Zr2LmX0vTn5KcY7bWd"
+    for path in (b"/login/", b"/users/login/", b"/users/login/api/", b"/usr/lib64/my_module/", b"/home/user1/"):
+        got = secrets.high_entropy(path + key)
+        assert secrets.suspicious(path + key) and got and got[-1][1] == len(path + key)
+    assert not secrets.high_entropy(b"/usr/local/share/doc/readme/index1")
+    assert not secrets.high_entropy(b"example" + key[:14])
+    found = 0
+    for _ in range(50):  # most of these hold a chance hit somewhere
+        text = "".join(rng.choice(base64) for _ in range(1600)).encode()
+        found += secrets.suspicious(text) and sum(b - a for a, b in secrets.high_entropy(text)) > 1200
+    assert found == 50
+
+
+def test_classes_of_both_cases_have_one_threshold(rng):
+    for alphabet in ("0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for _ in range(100):
+            text = "".join(rng.choice(alphabet) for _ in range(48)).encode()
+            assert secrets.high_entropy(text) == secrets.high_entropy(text.lower())
+
+
+def test_spans_of_a_key_behind_a_path(spark):
+    rows = spark.createDataFrame([(1, "see /users/login/q8Zr2LmX0vTn5KcY7bWd now")], "doc_id long, text string")
+    assert [tuple(x) for x in secrets.secrets(rows).first().found] == [("entropy", 16, 37)]

@@ -2,9 +2,9 @@
 
 A candidate is a whole run of ``[A-Za-z0-9+/_=-]`` of at least ``WINDOW`` characters. A window of that length slides over it; its entropy
 is kept up to date from the counts of the character that leaves and the one that enters. The threshold depends on the class of
-characters in the window (hexadecimal, lower-case and digits, mixed). Windows above it are joined to one span of kind ``entropy``.
-The allow-list drops candidates without a digit or without a letter (words, numbers), paths, and well-known fillers; spans
-inside a base span are dropped, too.
+characters in the window (hexadecimal; letters of one case and digits; mixed). Windows above it are joined to one span of kind ``entropy``.
+Candidates without a digit or without a letter (words, numbers) are dropped. The allow-list (paths, well-known fillers) takes only the
+windows that overlap one of its matches, so that the rest of a long candidate counts. Spans inside a base span are dropped, too.
 
 Offsets are code points of the whole text. Every text is scanned on its own in one pass, so no row meets another: no shuffle.
 
@@ -34,10 +34,12 @@ KINDS = ["assign", "access", "hex", "entropy"]
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 WINDOW = 20
-#: Bits for each character, by class of characters.
+#: Bits for each character, by class of characters ("hex" and "lower": in one case, whichever).
 THRESHOLDS = {"hex": 3.0, "lower": 3.5, "mixed": 3.7}
+#: The parts of a path are whole words, so that a key behind a path isn't taken for a part of it.
 ALLOWED = re.compile(
-    rb"(?i)(0123456789|abcdefghij|x{8}|example|placeholder|changeme|your[_-]|lorem|https?|www|/[a-z]+/[a-z]+|(.)\2{7})"
+    rb"(?i)(0123456789|abcdefghij|x{8}|example|placeholder|changeme|your[_-]|lorem|https?|www"
+    rb"|(?:/[a-z]+(?:[_-][a-z]+)*[0-9]{0,3}){2,}(?![a-z0-9+=_-])|(.)\2{7})"
 )
 
 _HEX, _KEY = np.zeros(256, bool), np.zeros(256, bool)
@@ -62,27 +64,40 @@ def runs(data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, least: int)
 
 
 def high_entropy(text: bytes) -> list[tuple[int, int]]:
-    """Joined windows above the threshold of their class; counts change by the two characters that differ."""
+    """Joined windows above the threshold of their class that no match of the allow-list overlaps.
+
+    Counts change by the two characters that differ.
+    """
     counts, total = [0] * 256, 0.0
-    upper = other = beyond = 0  # A-Z; + / _ = -; g-z
+    upper = lower = high_upper = high_lower = other = 0  # A-Z; a-z; G-Z; g-z; + / _ = -
+    allowed = [m.span() for m in ALLOWED.finditer(text)]
+    nearest = 0
     out: list[list[int]] = []
     for i, c in enumerate(text):
         total += _TERM[counts[c] + 1] - _TERM[counts[c]]
         counts[c] += 1
         upper += 65 <= c <= 90
-        beyond += 103 <= c <= 122
+        lower += 97 <= c <= 122
+        high_upper += 71 <= c <= 90
+        high_lower += 103 <= c <= 122
         other += c in b"+/_=-"
         if i >= WINDOW:
             d = text[i - WINDOW]
             total += _TERM[counts[d] - 1] - _TERM[counts[d]]
             counts[d] -= 1
             upper -= 65 <= d <= 90
-            beyond -= 103 <= d <= 122
+            lower -= 97 <= d <= 122
+            high_upper -= 71 <= d <= 90
+            high_lower -= 103 <= d <= 122
             other -= d in b"+/_=-"
         if i >= WINDOW - 1:
-            kind = "mixed" if upper or other else "lower" if beyond else "hex"
+            a = i - WINDOW + 1
+            while nearest < len(allowed) and allowed[nearest][1] <= a:
+                nearest += 1
+            if nearest < len(allowed) and allowed[nearest][0] <= i:
+                continue
+            kind = "mixed" if other or upper and lower else "lower" if high_upper or high_lower else "hex"
             if math.log2(WINDOW) - total / WINDOW >= THRESHOLDS[kind]:
-                a = i - WINDOW + 1
                 if out and a <= out[-1][1]:
                     out[-1][1] = i + 1
                 else:
@@ -91,8 +106,8 @@ def high_entropy(text: bytes) -> list[tuple[int, int]]:
 
 
 def suspicious(text: bytes) -> bool:
-    """False for what the allow-list takes: no digit or no letter, fillers, paths."""
-    return any(48 <= c <= 57 for c in text) and any(c > 64 for c in text if c != 95) and not ALLOWED.search(text)
+    """False for words and numbers: no digit or no letter."""
+    return any(48 <= c <= 57 for c in text) and any(c > 64 for c in text if c != 95)
 
 
 def spans_of(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
