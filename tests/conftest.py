@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import math
 import os
 import sys
 
@@ -11,8 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tillroll.session import session  # noqa: E402
 from tillroll.sources.schema import TRANSACTIONS  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -86,24 +83,3 @@ def skewed_labelled(skewed):
     from pyspark.sql import functions as F
 
     return skewed.withColumn("gender", (F.col("client_id") % 2).cast("int"))
-
-
-def rows_by_client(df):
-    return {r["client_id"]: r.asDict() for r in df.collect()}
-
-
-def same_rows(left, right):
-    """Equal as multisets, up to the noise of floating sums."""
-    assert sorted(left.columns) == sorted(right.columns)
-    types = dict(left.dtypes)
-    names = sorted(left.columns, key=lambda n: (types[n] == "double", n))
-
-    def key(row):
-        return [str(round(round(v, 9), 3) + 0.0) if isinstance(v, float) else str(v) for v in row]
-
-    a, b = (sorted((tuple(r) for r in df.select(*names).collect()), key=key) for df in (left, right))
-    assert len(a) == len(b)
-    for x, y in zip(a, b):
-        for name, v, w in zip(names, x, y):
-            same = math.isclose(v, w, rel_tol=1e-9, abs_tol=1e-9) if isinstance(v, float) and w is not None else v == w
-            assert same, (name, x, y)

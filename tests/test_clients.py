@@ -4,7 +4,7 @@ import math
 import statistics
 
 import pytest
-from conftest import rows_by_client, same_rows
+from helpers import rows_by_client, same_rows
 from pyspark.sql import functions as F
 
 from tillroll.functions.amounts import with_signed_amounts

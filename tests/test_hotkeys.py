@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import with_time_parts

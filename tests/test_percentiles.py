@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 from pyspark.sql import functions as F
 
 from tillroll.operators import percentiles as P

@@ -7,9 +7,11 @@ import sys
 
 import duckdb
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as entry
+from tillroll.plans.oracle import ORACLE_SQL
+from tillroll.plans.queries import QUERIES
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
@@ -27,14 +29,15 @@ def db():
 
 
 def test_every_query_has_sql_but_the_models():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLE_SQL) == ROWS_ONLY
+    assert set(ORACLE_SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, db, name):
-    df = entry.queries()[name](spark, SMALL)
-    want = db.sql(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SMALL)
+    want = db.sql(ORACLE_SQL[name])
     types = {c: TYPES.get(t, t) for c, t in df.dtypes}
     assert types == dict(zip(want.columns, map(str, want.types)))
     assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
