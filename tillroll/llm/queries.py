@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillroll.llm import lines
 from tillroll.llm.chat import op1_chat_formatting
 from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
@@ -24,6 +25,9 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_line_dedup": lines.op13_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_line_dedup": lines.ORACLE_SQL,
+}
