@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import lines
+from tillroll.llm import infill, lexical, lines
 from tillroll.llm.chat import op1_chat_formatting
 from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
@@ -25,9 +25,13 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
     "op13_line_dedup": lines.op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": infill.ORACLE_SQL,
+    "op12_ranked_lexical_search": lexical.ORACLE_SQL,
     "op13_line_dedup": lines.ORACLE_SQL,
 }
