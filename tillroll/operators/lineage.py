@@ -28,9 +28,14 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """An unused path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4()}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same for a table of any size that is read several times: Parquet, of which each reader takes its columns."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
