@@ -31,7 +31,7 @@ from tillroll.llm.hashing import LOWER, U, chunks, mix, prefix_hash, range_hash,
 TOP = 20
 SLICE_BYTES = 8 << 20
 #: Most places of the table of scores, and most postings, that are worked on at once (unless one document has more).
-BLOCK = 4 << 20
+BLOCK = 1 << 19
 MERGERS = 32
 LAST = (1 << 63) - 1
 #: Bytes between terms: ASCII that is neither letter nor digit.
