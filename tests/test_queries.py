@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from check import TYPES, rows_of  # noqa: E402
 
-ROWS_ONLY = {"model_auc", "submission"}
+ROWS_ONLY = {"model_auc", "submission", "validation_curve"}
 
 
 @pytest.fixture(scope="module")

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.encoding import content_place, ordered_target_encoding
 from tillroll.operators.lineage import written
+from tillroll.operators.ranks import auc_of
+from tillroll.plans.boosting import fit_with_patience, validation_curve
 
 LABEL = "gender"
 CATEGORICAL = ["mcc_code", "trans_type", "trans_city", "mcc_describe"]
@@ -24,6 +26,7 @@ SEED = 63
 SCORING_ITERATIONS, SCORING_RATE = 1500, 0.011
 TRAINING_ITERATIONS, TRAINING_RATE = 100, 0.1
 FOREST_DEPTH = 10
+PATIENCE = 70
 
 # Missing numbers count as smaller than every number in the boosted trees, and as 0 in the forest.
 BELOW_ALL = -1.0e12
@@ -57,33 +60,50 @@ def fit_boosted(
     depth: int = 6,
     seed: int = SEED,
     validation_share: float = 0.0,
+    patience: int = PATIENCE,
 ) -> PipelineModel:
-    """Boosted trees on target-encoded categories; with a validation share, training stops when it no longer helps.
+    """Boosted trees on ordered target statistics of the categories.
 
-    The features are written out first, since indexing, encoding and training each read them.
+    A training row's categories are encoded from earlier rows of a permutation only, so no row sees its own label; other rows get
+    the statistics of all training rows. With a validation share (of the clients), training stops when ``patience`` trees have
+    brought no gain in the area under the curve there, and the best prefix is kept. The features are written out first, since
+    indexing, encoding and training each read them.
     """
     data = written(prepared(features))
-    numeric = numeric_features(features)
-    indexed, encoded = [f"{c}_index" for c in CATEGORICAL], [f"{c}_target" for c in CATEGORICAL]
-    boosted = GBTClassifier(labelCol=LABEL, maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
     if validation_share > 0:
         data = with_validation_flag(data, validation_share, seed)
-        boosted = boosted.setValidationIndicatorCol("is_validation")
-    stages = [
-        StringIndexer(inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep"),
-        TargetEncoder(
-            inputCols=indexed, outputCols=encoded, labelCol=LABEL, targetType="binary", smoothing=1.0, handleInvalid="keep"
-        ),
-        # the sum drops the category marks of the index, so that the trees see plain numbers
-        SQLTransformer(statement=f"SELECT *, {', '.join(f'{c} + 0D AS {c}_value' for c in encoded)} FROM __THIS__"),
-        VectorAssembler(inputCols=[*numeric, *[f"{c}_value" for c in encoded]], outputCol="features"),
-    ]
-    encoder = Pipeline(stages=stages)
-    # categories learn from the training clients only
-    encoding = encoder.fit(data.filter(~F.col("is_validation")) if validation_share > 0 else data)
-    wanted = [LABEL, "features", *(["is_validation"] if validation_share > 0 else [])]
-    model = boosted.fit(encoding.transform(data).select(*wanted))
-    return PipelineModel([*encoding.stages, model])
+        known = data.filter(~F.col("is_validation"))
+    else:
+        known = data
+    encoding = _encoding(features).fit(known)
+    *encoders, assembler = encoding.stages
+    mean = known.agg(F.avg(LABEL)).first()[0] or 0.0
+    placed = known.withColumn("place", content_place(data.columns, seed))
+    ordered = ordered_target_encoding(placed, CATEGORICAL, LABEL, "place", prior=mean, suffix="_value")
+    learnt = written(assembler.transform(ordered).select(LABEL, "features"))
+    if validation_share > 0:
+        unseen = encoding.transform(data.filter("is_validation")).select(LABEL, "features")
+        both = learnt.withColumn("is_validation", F.lit(False)).unionByName(unseen.withColumn("is_validation", F.lit(True)))
+        model, _ = fit_with_patience(both, LABEL, "is_validation", iterations, rate, depth, seed, patience)
+    else:
+        model = GBTClassifier(labelCol=LABEL, maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed).fit(learnt)
+    return PipelineModel([*encoders, assembler, model])
+
+
+def _encoding(features: DataFrame) -> Pipeline:
+    """Categories to their target statistics, and all features into one vector."""
+    indexed, encoded = [f"{c}_index" for c in CATEGORICAL], [f"{c}_target" for c in CATEGORICAL]
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep"),
+            TargetEncoder(
+                inputCols=indexed, outputCols=encoded, labelCol=LABEL, targetType="binary", smoothing=1.0, handleInvalid="keep"
+            ),
+            # the sum drops the category marks of the index, so that the trees see plain numbers
+            SQLTransformer(statement="SELECT *, " + ", ".join(f"{c}_target + 0D AS {c}_value" for c in CATEGORICAL) + " FROM __THIS__"),
+            VectorAssembler(inputCols=[*numeric_features(features), *[f"{c}_value" for c in CATEGORICAL]], outputCol="features"),
+        ]
+    )
 
 
 def fit_forest(features: DataFrame, trees: int = 100, depth: int = FOREST_DEPTH, seed: int = SEED) -> PipelineModel:
@@ -110,6 +130,12 @@ def scored_by_boosted(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
+def curve_of(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """The ``validation_curve`` of fitted boosted trees over labelled features."""
+    *encoders, boosted = model.stages
+    return validation_curve(boosted, PipelineModel(encoders).transform(prepared(features)), LABEL)
+
+
 def predicted_by_forest(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Every transaction with its hard prediction (0 or 1)."""
     data = prepared(features, missing=0.0).withColumn("trans_type", F.col("trans_type").cast("double"))
@@ -118,6 +144,4 @@ def predicted_by_forest(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame, score: str = "probability") -> float:
     """Area under the ROC curve of a score column against the label, with a point for every distinct score."""
-    return BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol=score, metricName="areaUnderROC", numBins=0).evaluate(
-        scored.withColumn(score, F.col(score).cast("double"))
-    )
+    return auc_of(scored, score, LABEL).first()["auc"]

@@ -229,6 +229,39 @@ skew AS (
   FROM lab GROUP BY mcc_code
 )"""
 
+PLACED = """,
+placed AS (
+  SELECT mcc_code, trans_type, trans_city, gender, md5(concat_ws('|', '63', {key})) AS place FROM lab
+)""".format(
+    key=", ".join(
+        f"coalesce(CAST({c} AS VARCHAR), '-')"
+        for c in ("client_id", "trans_time", "mcc_code", "trans_type", "trans_city", "term_id", "CAST(round(amount * 100) AS BIGINT)")
+    )
+)
+
+
+def encoded(column: str) -> str:
+    upto = f"OVER (PARTITION BY {column} ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    here = f"OVER (PARTITION BY {column}, place)"
+    return (
+        f"(CAST(sum(gender) {upto} - sum(gender) {here} AS DOUBLE) + 0.5::DOUBLE) / "
+        f"(CAST(count(*) {upto} - count(*) {here} AS DOUBLE) + 1::DOUBLE)"
+    )
+
+
+def auc(source: str, score: str, by: str = "") -> str:
+    """Area under the curve of ``score`` for gender, per ``by``."""
+    key, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    return (
+        f"counted AS (SELECT {key}{score} AS score, count(*) FILTER (gender = 1) AS p, count(*) FILTER (gender = 0) AS q "
+        f"FROM {source} WHERE {score} IS NOT NULL GROUP BY ALL), "
+        f"ranked AS (SELECT *, coalesce(sum(q) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below "
+        f"FROM counted) SELECT {key}CAST(sum(p + q) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS n_positive, "
+        "CAST(sum(p * (2 * below + q)) AS DOUBLE) / nullif(2::DOUBLE * CAST(sum(p) AS DOUBLE) * CAST(sum(q) AS DOUBLE), 0) AS auc "
+        f"FROM ranked{f' GROUP BY {by}' if by else ''}"
+    )
+
+
 COHORT_COLUMNS = ["gender", "MCC", "day", "time", "hour"]
 LABELLED_TYPES = {
     "client_id": "bigint",
@@ -398,4 +431,9 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT 'test' AS part, n // 5 AS n_clients FROM c UNION ALL SELECT 'train', n - n // 5 FROM c",
     "stratified_holdout_split": f"{LABELLED}, c AS (SELECT count(DISTINCT client_id) AS n FROM lab) "
     "SELECT gender, n // 10 AS n_clients FROM (SELECT DISTINCT gender FROM lab), c",
+    "target_encoding": f"{LABELLED}{PLACED} SELECT mcc_code, trans_type, trans_city, gender, place, "
+    + columns({f"{c}_target": encoded(c) for c in ("mcc_code", "trans_type", "trans_city")})
+    + " FROM placed",
+    "auc_of_amount": f"{LABELLED}, {auc('lab', 'amount')}",
+    "auc_of_income_by_type": f"{LABELLED}, {auc('lab', 'CAST(amount >= 0 AS INTEGER)', 'trans_type')}",
 }

@@ -11,9 +11,11 @@ from tillroll.functions.amounts import with_signed_amounts
 from tillroll.functions.mcc import mcc_group
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients, cohort, habits, profile, sampling
+from tillroll.operators.encoding import ordered_target_encoding, permutation_place
 from tillroll.operators.hotkeys import Limits
 from tillroll.operators.joins import day_time, labelled, of_clients
 from tillroll.operators.lineage import written
+from tillroll.operators.ranks import auc_of
 from tillroll.operators.scaling import minmax_scaled, winsorized
 from tillroll.plans import features, model
 from tillroll.sources import driver_tables as tables
@@ -26,6 +28,9 @@ FLOWERS, BARS, MENSWEAR, CAR_PARTS, WOMENSWEAR = 5992, 5813, 5611, 5532, 5621
 FIRST_DAY, LAST_DAY = 150, 185
 FIRST_LINE, LAST_LINE = 300, 370
 
+ENCODED = ["mcc_code", "trans_type", "trans_city"]
+VALIDATION_SHARE = 0.2
+
 HISTOGRAM_BINS = 40
 PEAK_DAYS = 20
 
@@ -263,28 +268,57 @@ def stratified_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("gender").agg(F.count_distinct("client_id").alias("n_clients"))
 
 
-def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of the boosted trees (probabilities) and of the forest (hard predictions) on held-out clients."""
+def auc_of_income_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of the hard prediction that income means gender 1, for each type of transaction."""
+    rows = train(spark, sf_dir).withColumn("prediction", (F.col("amount") >= 0).cast("int"))
+    return auc_of(rows, "prediction", "gender", ["trans_type"])
+
+
+def held_out_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Written features of four fifths of the labelled clients, and of the fifth held out."""
     rows = train(spark, sf_dir)
     n = sampling.client_list(rows).count() // 5
-    rest, held = sampling.holdout(rows, n, per_gender=False)
     bound = limits(spark, sf_dir)
-    known, unknown = (written(features.scoring_features(part, limits=bound)) for part in (rest, held))
-    boosted = model.fit_boosted(known, iterations=3, rate=model.TRAINING_RATE, depth=3, validation_share=0.2)
-    forest = model.fit_forest(known, trees=5, depth=5)
+    rest, held = (written(features.scoring_features(part, limits=bound)) for part in sampling.holdout(rows, n, per_gender=False))
+    return rest, held
+
+
+def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of the boosted trees (probabilities) and of the forest (hard predictions) on held-out clients, at the library's settings.
+
+    ``trees`` is the size of the best prefix, found with patience on a fifth of the training clients.
+    """
+    known, unknown = held_out_features(spark, sf_dir)
+    boosted = model.fit_boosted(known, model.TRAINING_ITERATIONS, model.TRAINING_RATE, validation_share=VALIDATION_SHARE)
+    forest = model.fit_forest(known)
     scores = [
-        ("boosted", model.auc(model.scored_by_boosted(boosted, unknown))),
-        ("forest", model.auc(model.predicted_by_forest(forest, unknown), "prediction")),
+        ("boosted", len(boosted.stages[-1].treeWeights), model.auc(model.scored_by_boosted(boosted, unknown))),
+        ("forest", len(forest.stages[-1].treeWeights), model.auc(model.predicted_by_forest(forest, unknown), "prediction")),
     ]
-    return spark.createDataFrame(scores, "model string, auc double")
+    return spark.createDataFrame(scores, "model string, trees int, auc double")
+
+
+def validation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and AUC on held-out clients after every tree of the validated training."""
+    known, unknown = held_out_features(spark, sf_dir)
+    fitted = model.fit_boosted(known, model.TRAINING_ITERATIONS, model.TRAINING_RATE)
+    return model.curve_of(fitted, unknown)
 
 
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability of every transaction of the unlabelled clients."""
-    boosted = model.fit_boosted(
-        features.scoring_features(train(spark, sf_dir), limits=limits(spark, sf_dir)), iterations=3, rate=model.TRAINING_RATE, depth=3
-    )
-    return model.scored_by_boosted(boosted, features.scoring_features(test(spark, sf_dir), limits=limits(spark, sf_dir)))
+    """Probability of every transaction of the unlabelled clients, from the best prefix of up to 1500 trees."""
+    bound = limits(spark, sf_dir)
+    boosted = model.fit_boosted(features.scoring_features(train(spark, sf_dir), limits=bound), validation_share=VALIDATION_SHARE)
+    return model.scored_by_boosted(boosted, features.scoring_features(test(spark, sf_dir), limits=bound))
+
+
+def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered target statistics of three category columns, with the place of each row in the permutation."""
+    cents = F.round(F.col("amount") * 100).cast("long").alias("cents")
+    rows = train(spark, sf_dir).select("client_id", "trans_time", "mcc_code", "trans_type", "trans_city", "term_id", cents, "gender")
+    names = [c for c in rows.columns if c != "gender"]
+    placed = written(rows.select(*ENCODED, "gender", permutation_place(names, model.SEED).alias("place")))
+    return ordered_target_encoding(placed, ENCODED, "gender", "place")
 
 
 QUERIES: dict[str, Query] = {
@@ -342,6 +376,10 @@ QUERIES: dict[str, Query] = {
     "balanced_value_counts": balanced_value_counts,
     "holdout_split": holdout_split,
     "stratified_holdout_split": stratified_holdout_split,
+    "target_encoding": target_encoding,
+    "auc_of_amount": lambda s, d: auc_of(train(s, d), "amount", "gender"),
+    "auc_of_income_by_type": auc_of_income_by_type,
+    "validation_curve": validation_curve,
     "model_auc": model_auc,
     "submission": submission,
 }
