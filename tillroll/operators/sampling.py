@@ -3,73 +3,110 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.hotkeys import MAX_HOT_KEYS
+from tillroll.operators.hotkeys import lookup_table
 from tillroll.operators.joins import of_clients
 from tillroll.operators.lineage import pinned, written
 
-BUCKETS = 1 << 16
-MAX_CLASSES = 10_000
+#: Bits of the draw that a pass looks at, and rows at the edge of a group below which no further pass is worth it.
+DIGIT_BITS, EDGE_ROWS = 16, 100_000
 COPIES_PER_ROW = 1 << 20
 
 
-def exact_sample(df: DataFrame, n: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (per group of ``by``, if given) without replacement.
+def _draws(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    rows = df.dropna(subset=list(keys)) if keys else df
+    return rows.withColumn("draw", F.xxhash64(F.lit(seed), *df.columns))
 
-    Rows are taken by hash of seed and content, so the draw depends on the data
-    alone. A count over hash buckets (with map-side combine) finds the bucket in
-    which the n-th row lies. Lower buckets are taken whole, straight from the
-    scan; only the rows of that one bucket are shuffled and put in order, equal
-    rows as one row with a number of copies. Fails when a group has fewer than
-    ``n`` rows.
+
+def _met(rows: DataFrame, side: DataFrame, keys: Sequence[str], sizes: str) -> DataFrame:
+    """Rows with the values of their group; ``side`` has a row for each group and ``sizes`` its number of rows."""
+    if keys:
+        return lookup_table(rows, side, keys, sizes)
+    return rows.withColumns({c: side.select(c).scalar() for c in side.columns if c != sizes})
+
+
+def edges(df: DataFrame, n: int | None, by: Sequence[str], seed: int, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """For each group the range of draws [``low``, ``high``] in which its n-th lowest draw lies, and the rows ``missing`` below it.
+
+    Radix selection, for all groups at once: a pass counts the rows of each group's range by the next 16 bits of the draw (with
+    map-side combine) and keeps the digit that holds the n-th row. One pass leaves a 65,536th of a group; a further one is made only
+    where that has more than ``edge_rows`` rows, and after four a range is one draw. Without ``n`` the smallest group gives it.
     """
-    names, keys = df.columns, list(by)
-    rows = (
-        (df.dropna(subset=keys) if keys else df)
-        .withColumn("draw", F.xxhash64(F.lit(seed), *names))
-        .withColumn("bucket", F.col("draw").bitwiseAND(F.lit(BUCKETS - 1)))
-    )
-    # at most BUCKETS rows per group
-    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    through = F.col("through")
-    buckets = (
-        rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size")).withColumn("through", F.sum("size").over(upto))
-    )
-    classes = pinned(
-        buckets.groupBy(*keys).agg(
-            F.max("through").alias("total"),
-            F.min(F.when(through >= n, F.struct("bucket", "through", "size"))).alias("last"),
+    keys = list(by)
+    draws = _draws(df, keys, seed).select(*keys, "draw")
+    state, shift = None, 64
+    while shift:
+        shift -= DIGIT_BITS
+        rows = draws
+        if state is not None:
+            # signed numbers: the order of the draws is that of their leading bits, then of the rest
+            rows = _met(draws, state.filter("open").select(*keys, "low", "high", "total"), keys, "total")
+            rows = rows.filter(F.col("draw").between(F.col("low"), F.col("high")))
+        counts = rows.groupBy(*keys, F.shiftright("draw", shift).alias("digit")).agg(F.count(F.lit(1)).alias("size"))
+        # at most 65,536 rows in a group
+        upto = Window.partitionBy(*keys).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("through", F.sum("size").over(upto))
+        if state is None:
+            counts = pinned(counts)
+            totals = counts.groupBy(*keys).agg(F.sum("size").alias("total"))
+            if n is None:
+                n = totals.agg(F.min("total")).first()[0] or 0
+            short = totals.filter(F.coalesce(F.col("total"), F.lit(0)) < n).first()
+            if short is not None:
+                raise ValueError(f"a group has fewer than {n} rows: {short.asDict()}")
+            wanted = totals.withColumn("missing", F.lit(n).cast("long"))
+        else:
+            wanted = state.filter("open").select(*keys, "total", "missing")
+        at = F.min(F.when(F.col("through") >= F.col("missing"), F.struct("digit", "through", "size")))
+        found = counts.join(wanted, keys) if keys else counts.withColumns({c: wanted.select(c).scalar() for c in ("total", "missing")})
+        last = found.groupBy(*keys).agg(at.alias("last"), F.max("missing").alias("missing"), F.max("total").alias("total"))
+        low = F.shiftleft(F.col("last.digit"), shift)
+        high = low + F.lit((1 << shift) - 1)
+        # Where the last digit is taken whole, the edge shrinks to its highest draw.
+        whole = F.col("missing") == F.col("last.through")
+        step = last.select(
+            *keys, F.when(whole, high).otherwise(low).alias("low"), high.alias("high"),
+            F.when(whole, F.col("total")).otherwise(F.col("missing") - F.col("last.through") + F.col("last.size")).alias("missing"), "total",
+            ((F.col("last.size") > edge_rows) & ~whole).alias("open"),
         )
-    )
-    if classes.count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} groups")
-    short = classes.filter(F.coalesce(F.col("total"), F.lit(0)) < n).first()
-    if short is not None:
-        raise ValueError(f"a group has fewer than {n} rows: {short.asDict()}")
-    last = classes.select(
-        *keys,
-        F.col("last.bucket").alias("last_bucket"),
-        (F.lit(n) - F.col("last.through") + F.col("last.size")).alias("missing"),
-    )
-    if keys:
-        marked = rows.join(F.broadcast(last), keys)
-    else:
-        only = last.first()
-        marked = rows.withColumns({"last_bucket": F.lit(only["last_bucket"]), "missing": F.lit(only["missing"])})
-    whole = marked.filter(F.col("bucket") < F.col("last_bucket")).select(*names)
-    edge = (
-        marked.filter(F.col("bucket") == F.col("last_bucket"))
-        .groupBy(*names, "draw", "missing")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+        state = pinned(step if state is None else step.unionByName(state.filter("NOT open")))
+        if state.filter("open").isEmpty():
+            break
+    return state
+
+
+def exact_parts(
+    df: DataFrame, n: int | None, by: Sequence[str] = (), seed: int = 0, edge_rows: int = EDGE_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Exactly ``n`` rows (per group of ``by``, if given; of the smallest group, without ``n``) without replacement, and all others.
+
+    Rows are taken by hash of seed and content, so the draw depends on the data alone. Rows below the edge of their group (see
+    ``edges``) are taken straight from the scan, rows above it are not; only those at the edge are shuffled and put in order, equal
+    rows as one row with a number of copies. Fails when a group has fewer than ``n`` rows. Rows without a group are in neither part.
+    """
+    names, keys = df.columns, list(by)
+    state = edges(df, n, keys, seed, edge_rows).select(*keys, "low", "high", "missing", "total")
+    marked = _met(_draws(df, keys, seed), state, keys, "total")
+    edge = marked.filter(F.col("draw").between(F.col("low"), F.col("high")))
+    copies = edge.groupBy(*names, "draw", "missing").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy(*keys).orderBy("draw", *names).rowsBetween(Window.unboundedPreceding, 0)
-    taken = edge.withColumn(
-        "take", F.least(F.col("copies"), F.col("missing") - F.sum("copies").over(order) + F.col("copies"))
-    ).filter(F.col("take") > 0)
-    return whole.unionByName(repeated(taken.select(*names, "take"), "take"))
+    take = F.greatest(F.lit(0), F.least(F.col("copies"), F.col("missing") - F.sum("copies").over(order) + F.col("copies")))
+    ranked = copies.withColumn("take", take).withColumn("leave", F.col("copies") - F.col("take"))
+
+    def part(whole: Column, number: str) -> DataFrame:
+        some = ranked.filter(F.col(number) > 0).select(*names, number)
+        return marked.filter(whole).select(*names).unionByName(repeated(some, number))
+
+    return part(F.col("draw") < F.col("low"), "take"), part(F.col("draw") > F.col("high"), "leave")
+
+
+def exact_sample(df: DataFrame, n: int | None, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """The first part of ``exact_parts``."""
+    return exact_parts(df, n, by, seed)[0]
 
 
 def repeated(df: DataFrame, copies: str) -> DataFrame:
@@ -87,8 +124,8 @@ def repeated(df: DataFrame, copies: str) -> DataFrame:
     return rest.unionByName(copied.select(*rest.columns))
 
 
-def balanced_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """The same number of rows of every gender."""
+def balanced_sample(df: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """The same number of rows of every gender, that of the smallest one if ``n`` isn't given."""
     return exact_sample(df, n, ["gender"], seed)
 
 
@@ -98,15 +135,32 @@ def client_list(df: DataFrame) -> DataFrame:
 
 
 def holdout(df: DataFrame, n: int, per_gender: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rows of all other clients, and rows of ``n`` clients held out (per gender, if asked for)."""
-    # written once, as both sides use the list, each perhaps many times
+    """Rows of all other clients, and rows of ``n`` clients held out (per gender, if asked for).
+
+    The held clients are written once, as both sides use the list, each perhaps many times. Spark broadcasts it by its size in
+    bytes; a longer one meets the rows in a shuffle, where adaptive execution splits clients with many rows.
+    """
     held = written(exact_sample(client_list(df), n, ["gender"] if per_gender else [], seed).select("client_id"))
-    if n <= MAX_HOT_KEYS:
-        held = F.broadcast(held)
     return df.join(held, "client_id", "left_anti"), of_clients(df, held)
 
 
-def row_split(df: DataFrame, train_share: float = 0.7, seed: int = 234) -> tuple[DataFrame, DataFrame]:
-    """Random split of rows. Rows of one client fall on both sides; prefer ``holdout`` for evaluation."""
-    train, rest = df.randomSplit([train_share, 1 - train_share], seed)
-    return train, rest
+def row_split(df: DataFrame, test_share: float = 0.3, seed: int = 234) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows, exactly ``ceil(test_share * rows)`` of the latter.
+
+    Stateless: a row's side follows from its content and, among equal rows, from their number, so both sides fit together however
+    often they are computed. Rows of one client fall on both sides; prefer ``holdout`` for evaluation.
+    """
+    test, rest = exact_parts(df, ceil(test_share * df.count()), seed=seed)
+    return rest, test
+
+
+def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(``only_left``, ``only_right``): rows that one table has more often than the other, by a 64-bit hash of their content."""
+    signed = [
+        df.select(F.xxhash64(*sorted(left.columns)).alias("row"), F.lit(sign).alias("sign")) for df, sign in ((left, 1), (right, -1))
+    ]
+    balance = signed[0].unionByName(signed[1]).groupBy("row").agg(F.sum("sign").alias("more"))
+    return balance.agg(
+        F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("only_left"),
+        F.coalesce(F.sum(F.greatest(-F.col("more"), F.lit(0))), F.lit(0)).alias("only_right"),
+    )

@@ -436,4 +436,10 @@ ORACLE_SQL: dict[str, str] = {
     + " FROM placed",
     "auc_of_amount": f"{LABELLED}, {auc('lab', 'amount')}",
     "auc_of_income_by_type": f"{LABELLED}, {auc('lab', 'CAST(amount >= 0 AS INTEGER)', 'trans_type')}",
+    "balanced_sample_bag": f"{LABELLED} SELECT CAST(0 AS BIGINT) AS only_left, "
+    f"CAST(count(*) - 2 * {SMALLER_CLASS} AS BIGINT) AS only_right FROM lab",
+    "holdout_bag": "SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, CAST(0 AS BIGINT) AS n_common",
+    "row_split": f"{LABELLED}, c AS (SELECT count(*) AS n, CAST(ceil(0.3::DOUBLE * count(*)) AS BIGINT) AS t FROM lab) "
+    "SELECT 'train' AS part, n - t AS n FROM c UNION ALL SELECT 'test', t FROM c "
+    "UNION ALL SELECT 'lost', CAST(0 AS BIGINT) UNION ALL SELECT 'gained', CAST(0 AS BIGINT)",
 }

@@ -224,25 +224,22 @@ def describe_mcc_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four_digits(cohort.described(counts, "diff_true_false", limits=limits(spark, sf_dir)))
 
 
-def balanced_size(spark: SparkSession, sf_dir: str) -> int:
-    """Size of the smaller class."""
-    sizes = cohort.class_balance(train(spark, sf_dir)).first()
-    return min(sizes["n_0"], sizes["n_1"])
-
-
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the classes before and after balancing."""
-    sample = sampling.balanced_sample(cohort_rows(spark, sf_dir), balanced_size(spark, sf_dir))
-    return sample.groupBy("gender").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.balanced_sample(cohort_rows(spark, sf_dir)).groupBy("gender").agg(F.count(F.lit(1)).alias("n"))
 
 
 def balanced_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value counts of the codes in the balanced sample, with its control total."""
-    sample = sampling.balanced_sample(cohort_rows(spark, sf_dir).select("gender", "MCC"), balanced_size(spark, sf_dir))
-    counts = cohort.code_value_counts(sample)
+    counts = cohort.code_value_counts(sampling.balanced_sample(cohort_rows(spark, sf_dir).select("gender", "MCC")))
     return counts.agg(F.sum("n").alias("control_total"))
 
 
+def balanced_sample_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the balanced sample that the table has not, or not as often, and rows of the table left out."""
+    rows = written(cohort_rows(spark, sf_dir))
+    return sampling.bag_difference(sampling.balanced_sample(rows), rows)
+
 
 def _split_sizes(rest: DataFrame, held: DataFrame) -> DataFrame:
     return (
@@ -274,6 +271,27 @@ def auc_of_income_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc_of(rows, "prediction", "gender", ["trans_type"])
 
 
+def holdout_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients on both sides of a hold-out, and rows that the sides together lost or gained."""
+    rows = written(train(spark, sf_dir))
+    rest, held = sampling.holdout(rows, sampling.client_list(rows).count() // 5)
+    both = rest.select("client_id").distinct().join(held.select("client_id").distinct(), "client_id")
+    balance = sampling.bag_difference(rest.unionByName(held), rows)
+    return balance.withColumn("n_common", both.agg(F.count(F.lit(1))).scalar())
+
+
+def row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the 70 to 30 split of rows, and rows that the sides together lost or gained."""
+    rows = written(train(spark, sf_dir))
+    parts = dict(zip(("train", "test"), sampling.row_split(rows), strict=True))
+    sizes = [df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name, df in parts.items()]
+    balance = sampling.bag_difference(parts["train"].unionByName(parts["test"]), rows)
+    changed = balance.select(F.explode(F.array(
+        F.struct(F.lit("gained").alias("part"), F.col("only_left").alias("n")), F.struct(F.lit("lost").alias("part"), F.col("only_right").alias("n"))
+    )).alias("x")).select("x.*")
+    return sizes[0].unionByName(sizes[1]).unionByName(changed)
+
+
 def held_out_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Written features of four fifths of the labelled clients, and of the fifth held out."""
     rows = train(spark, sf_dir)
@@ -376,6 +394,9 @@ QUERIES: dict[str, Query] = {
     "balanced_value_counts": balanced_value_counts,
     "holdout_split": holdout_split,
     "stratified_holdout_split": stratified_holdout_split,
+    "balanced_sample_bag": balanced_sample_bag,
+    "holdout_bag": holdout_bag,
+    "row_split": row_split,
     "target_encoding": target_encoding,
     "auc_of_amount": lambda s, d: auc_of(train(s, d), "amount", "gender"),
     "auc_of_income_by_type": auc_of_income_by_type,
