@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import weekday_of
+from tillroll.operators import rollup
 from tillroll.operators.hotkeys import DEFAULT, Hot, Limits, hot_keys
 from tillroll.operators.lineage import written
 from tillroll.operators.percentiles import percentiles_by
@@ -34,12 +35,8 @@ def median_aggregates() -> dict[str, Column]:
     return {f"{c}_client_median": F.median(c) for c in SIDES}
 
 
-def nunique_aggregates() -> dict[str, Column]:
-    return {name: F.count_distinct(c) for c, name in NUNIQUE.items()}
-
-
 def nunique_in_one_task() -> dict[str, Column]:
-    """The same from sets, for clients whose rows are in one task: no row is multiplied, nothing is shuffled again."""
+    """Distinct counts from sets, for clients whose rows are in one task: no row is multiplied, nothing is shuffled again."""
     return {name: F.size(F.collect_set(c)).cast("long") for c, name in NUNIQUE.items()}
 
 
@@ -115,7 +112,10 @@ def with_whole_clients(
         return by_client(together, plain).join(counts, "client_id") if plain else counts
 
     def oversized(rows: DataFrame) -> DataFrame:
-        out = by_client(rows, {**aggregates, **(nunique_aggregates() if distinct else {})})
+        out = by_client(rows, aggregates) if aggregates else None
+        if distinct:
+            counts = rollup.distinct_counts(rows, ["client_id"], NUNIQUE)
+            out = counts if out is None else out.join(counts, "client_id")
         for c in SIDES if medians else ():
             found = percentiles_by(rows, F.col(c), [0.5], ["client_id"], limits=limits)
             median = F.col("percentiles")[0].alias(f"{c}_client_median")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.amounts import ratio, strictly_earned, strictly_spent
 from tillroll.operators.hotkeys import DEFAULT, GroupStats, Limits, attach
+from tillroll.operators.rollup import Measure
 
 CLIENT = ("client_id",)
 
@@ -15,33 +16,43 @@ def _zero_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns})
 
 
-def money_per_transaction_stats() -> list[GroupStats]:
+def _amounts() -> dict[str, Column]:
     amount = F.col("amount")
-    spent, earned = strictly_spent(amount), strictly_earned(amount)
+    return {"amount": amount, "spent": strictly_spent(amount), "earned": strictly_earned(amount)}
+
+
+def _money(kind: str, name: str) -> Measure:
+    return Measure(kind, name, _amounts()[name])
+
+
+def _count(column: str) -> Measure:
+    return Measure("count", column, F.col(column))
+
+
+def money_per_transaction_stats() -> list[GroupStats]:
     return [
         GroupStats(
             CLIENT,
             {
-                "Mean_net_money_per_transaction": F.avg(amount),
-                "Std_net_money_per_transaction": F.stddev_samp(amount),
-                "Mean_spend_money_per_transaction": F.avg(spent),
-                "Mean_earn_money_per_transaction": F.avg(earned),
-                "Money_spend_std_per_transaction": F.stddev_samp(spent),
-                "Mean_earn_std_per_transaction": F.stddev_samp(earned),
+                "Mean_net_money_per_transaction": _money("avg", "amount"),
+                "Std_net_money_per_transaction": _money("std", "amount"),
+                "Mean_spend_money_per_transaction": _money("avg", "spent"),
+                "Mean_earn_money_per_transaction": _money("avg", "earned"),
+                "Money_spend_std_per_transaction": _money("std", "spent"),
+                "Mean_earn_std_per_transaction": _money("std", "earned"),
             },
         )
     ]
 
 
 def money_all_stats() -> list[GroupStats]:
-    amount = F.col("amount")
     return [
         GroupStats(
             CLIENT,
             {
-                "ALL_money_net": F.sum(amount),
-                "ALL_money_spend": F.sum(strictly_spent(amount)),
-                "ALL_money_earn": F.sum(strictly_earned(amount)),
+                "ALL_money_net": _money("sum", "amount"),
+                "ALL_money_spend": _money("sum", "spent"),
+                "ALL_money_earn": _money("sum", "earned"),
             },
         )
     ]
@@ -49,12 +60,12 @@ def money_all_stats() -> list[GroupStats]:
 
 def frequency_stats() -> list[GroupStats]:
     return [
-        GroupStats(CLIENT, {"Frequency_of_spending_all": F.count("day")}),
+        GroupStats(CLIENT, {"Frequency_of_spending_all": _count("day")}),
         GroupStats(
             ("client_id", "day"),
             {
-                "Frequency_of_spending_per_day": F.count("day"),
-                "Hours_std_transaction_per_day": F.stddev_samp("hour"),
+                "Frequency_of_spending_per_day": _count("day"),
+                "Hours_std_transaction_per_day": Measure("std", "hour", F.col("hour")),
             },
         ),
     ]
@@ -65,18 +76,18 @@ def habit_stats() -> list[GroupStats]:
         GroupStats(
             ("client_id", "term_id"),
             {
-                "Terminal_habit": F.count("term_id"),
-                "Terminal_habit_sum_money": F.sum("amount"),
-                "Terminal_habit_money": F.avg("amount"),
+                "Terminal_habit": _count("term_id"),
+                "Terminal_habit_sum_money": _money("sum", "amount"),
+                "Terminal_habit_money": _money("avg", "amount"),
             },
         ),
-        GroupStats(("client_id", "trans_type"), {"Service_habit": F.count("trans_type")}),
+        GroupStats(("client_id", "trans_type"), {"Service_habit": _count("trans_type")}),
         GroupStats(
             ("client_id", "mcc_code"),
             {
-                "Product_habit_frequency": F.count("mcc_code"),
-                "Product_habit_sum_money": F.sum("amount"),
-                "Product_habit_mean_money": F.avg("amount"),
+                "Product_habit_frequency": _count("mcc_code"),
+                "Product_habit_sum_money": _money("sum", "amount"),
+                "Product_habit_mean_money": _money("avg", "amount"),
             },
         ),
     ]
@@ -104,7 +115,7 @@ def all_stats() -> list[GroupStats]:
 
 def merged(families: list[list[GroupStats]]) -> list[GroupStats]:
     """One entry per key list, so that each group is formed once."""
-    by_keys: dict[tuple[str, ...], dict[str, Column]] = {}
+    by_keys: dict[tuple[str, ...], dict[str, Column | Measure]] = {}
     for stats in families:
         for s in stats:
             by_keys.setdefault(s.keys, {}).update(s.aggregates)
@@ -149,7 +160,7 @@ def with_code_count(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """How often the client used the code of the row; rows without a code match nothing and drop out."""
     return attach(
         df.filter(F.col("client_id").isNotNull() & F.col("mcc_code").isNotNull()),
-        [GroupStats(("client_id", "mcc_code"), {"mcc_code_count": F.count("mcc_code")})],
+        [GroupStats(("client_id", "mcc_code"), {"mcc_code_count": _count("mcc_code")})],
         "client_id",
         limits=limits,
     )

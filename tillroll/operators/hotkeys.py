@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators.lineage import pinned, written
+from tillroll.operators.rollup import Measure, cells, measured, rolled
 
 GROUP_ROWS = 1_000_000
 MAX_HOT_KEYS = 500_000
@@ -119,10 +120,16 @@ def lookup_table(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str,
 
 @dataclass(frozen=True)
 class GroupStats:
-    """Aggregates over the groups of ``keys``, to be attached to every row of the group."""
+    """Aggregates over the groups of ``keys``, to be attached to every row of the group; measures can be rolled up."""
 
     keys: tuple[str, ...]
-    aggregates: dict[str, Column]
+    aggregates: dict[str, Column | Measure]
+
+    def columns(self) -> dict[str, Column]:
+        return {name: a.of_rows() if isinstance(a, Measure) else a for name, a in self.aggregates.items()}
+
+    def rolls_up(self) -> bool:
+        return all(isinstance(a, Measure) for a in self.aggregates.values())
 
 
 def attach(
@@ -151,18 +158,28 @@ def with_windows(df: DataFrame, stats: Sequence[GroupStats], anchor: str) -> Dat
         _check_anchor(s, anchor)
         in_group = reduce(and_, [F.col(k).isNotNull() for k in s.keys])
         window = Window.partitionBy(*s.keys)
-        columns.update({name: F.when(in_group, agg.over(window)) for name, agg in s.aggregates.items()})
+        columns.update({name: F.when(in_group, agg.over(window)) for name, agg in s.columns().items()})
     return df.repartition(anchor).withColumns(columns)
 
 
 def with_lookups(df: DataFrame, stats: Sequence[GroupStats], anchor: str, limit: int) -> DataFrame:
-    """For the rows of hot anchors, of which there are at most ``MAX_HOT_KEYS``."""
+    """For the rows of hot anchors, of which there are at most ``MAX_HOT_KEYS``.
+
+    Measures of all key lists come from one aggregation of the rows over the union of the keys, rolled up for each list.
+    """
     out = df
+    rolling = [s for s in stats if s.rolls_up()]
+    if rolling:
+        finest = list(dict.fromkeys(k for s in rolling for k in s.keys))
+        base = written(cells(df, finest, [m for s in rolling for m in s.aggregates.values()]))
     for s in stats:
         _check_anchor(s, anchor)
-        side = df.groupBy(*s.keys).agg(
-            F.count(F.lit(1)).alias("group_rows"), *[agg.alias(name) for name, agg in s.aggregates.items()]
-        )
+        if s.rolls_up():
+            side = measured(rolled(base, s.keys), s.keys, s.aggregates)
+        else:
+            side = df.groupBy(*s.keys).agg(
+                F.count(F.lit(1)).alias("group_rows"), *[agg.alias(name) for name, agg in s.columns().items()]
+            )
         if s.keys == (anchor,):
             out = out.join(F.broadcast(side.drop("group_rows")), [anchor], "left")
         else:

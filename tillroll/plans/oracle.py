@@ -9,6 +9,7 @@ from __future__ import annotations
 from tillroll.functions.mcc import MCC_BANDS
 from tillroll.plans.queries import (
     BARS,
+    BY_LIMITS,
     CAR_PARTS,
     FIRST_DAY,
     FIRST_LINE,
@@ -443,3 +444,4 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT 'train' AS part, n - t AS n FROM c UNION ALL SELECT 'test', t FROM c "
     "UNION ALL SELECT 'lost', CAST(0 AS BIGINT) UNION ALL SELECT 'gained', CAST(0 AS BIGINT)",
 }
+ORACLE_SQL |= {f"{name}_hot": ORACLE_SQL[name] for name in BY_LIMITS}
