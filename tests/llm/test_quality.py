@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 from helpers import SMALL
-from tillroll.llm.quality import COUNTS, op4_quality_rules, passed, quality
+
+from tillroll.llm.quality import BOILERPLATE, COUNTS, NAVIGATION, TERMINAL, op4_quality_rules, passed, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,7 +33,7 @@ def test_edges(spark, odd_docs, no_docs):
     rows = quality(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     for r in rows:
-        assert tuple(r[c] for c in COUNTS) == by_hand(r.text)
+        assert tuple(r.quality[c] for c in COUNTS) == by_hand(r.doc.text)
     assert quality(no_docs).count() == 0
     assert passed(no_docs).columns == no_docs.columns
 
@@ -49,6 +50,42 @@ def test_lines_go_and_documents_with_little_left(spark):
     assert out[1].text == good
 
 
+def fails(line: str) -> bool:
+    """The rules of lines, said once more."""
+    low, n = line.lower(), line.count(" ") + 1
+    noise = sum(len(x) for x in re.findall(r"[#*$%&|<>]{2,}", line))
+    bars = sum(line.count(c) for c in "|»›•")
+    tail = line.replace("\t", " ").replace("\r", " ").rstrip(" ")[-1:]
+    return bool(
+        noise > 0.5 * n or bars > 0.2 * n or (line.count("!") > 0.3 * n and line.count("!") >= 2)
+        or (n < 4 and (not tail or tail not in TERMINAL)) or (n < 4 and re.search(NAVIGATION, line)) or any(b in low for b in BOILERPLATE)
+    )
+
+
+def test_verdicts_against_the_rules_by_hand(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    made = [(10**6, "Plain words stand in this line.\n\n## $$ %% a\nHome | About\nshort\nshort stub!\nWOW!! SO!! GOOD!! this!! is", None, None, 1)]
+    rows = quality(docs.unionByName(spark.createDataFrame(made, docs.schema))).collect()
+    removed = 0
+    for r in rows:
+        lines = [x for x in (r.doc.text or "").split("\n") if x.replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").strip(" ")]
+        stay = [x for x in dict.fromkeys(lines) if not fails(x)]
+        assert r.quality.cleaned == "\n".join(stay)
+        n, left = len(WORD.findall(r.doc.text or "")), len(WORD.findall("\n".join(stay)))
+        assert r.quality.n_kept_words == left and r.quality.kept == (not r.quality.base_failed and n > 0 and 1 - left / n <= 0.5)
+        removed += len(lines) - len(stay)
+    assert removed > 20
+
+
+def test_columns_of_the_caller_stay(spark):
+    text = "\n".join(["Ten words and a full stop make this a sentence.", "And another one follows it with nothing bad in it."])
+    names = ["doc_id", "text", "kept", "n_words", "quality", "doc", "_q_text", "cleaned", "row"]
+    docs = spark.createDataFrame([(1, text, "mine", 7, "q", "d", "t", "c", 3)], names)
+    out = passed(docs)
+    assert out.columns == names and out.collect() == docs.collect()
+    assert quality(docs).first().doc.n_words == 7
+
+
 def test_labels(spark):
     kept = {r.doc_id: r.kept or r.base_failed for r in op4_quality_rules(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()

@@ -4,8 +4,8 @@ Everything is built-in column expressions, so no row leaves the JVM and no rule
 the cost is that of one scan, whatever the sources or groups of copies look like.
 
 Edge cases: a null text counts as empty and fails (fewer than ten words); repeated rows are judged alike;
-an empty table gives an empty table; other columns pass through untouched (names starting with ``_q_`` are taken
-by the operator and would be replaced).
+an empty table gives an empty table; columns pass through untouched whatever their names, as the document and what is found out
+about it are two structs.
 """
 
 from __future__ import annotations
@@ -88,13 +88,13 @@ def how_many(line: Column, mark: str) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
 
 
-def line_fails(line: Column, noisy: Column) -> Column:
+def line_fails(line: Column, noisy: bool) -> Column:
     """True for a line that is navigation, boilerplate, shouting, symbol noise or a stub without an end mark.
 
-    Words of a line are its parts between blanks. ``noisy`` tells whether the document has symbols at all.
+    Words of a line are its parts between blanks. ``noisy`` tells whether the document may have symbols at all.
     """
     n = how_many(line, " ") + 1
-    noise = F.when(noisy, without(line, r"[#*$%&|<>]{2,}")).otherwise(0)
+    noise = without(line, r"[#*$%&|<>]{2,}") if noisy else F.lit(0)
     bars = how_many(line, "|") + how_many(line, "»") + how_many(line, "›") + how_many(line, "•")
     shouts = how_many(line, "!")
     low = F.lower(line)
@@ -109,39 +109,42 @@ def line_fails(line: Column, noisy: Column) -> Column:
     )
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base counts, ``cleaned`` (the lines that stay), ``lost`` (share of words gone) and ``kept``.
+    """``doc``, the row as it is, and ``quality``: base counts, ``cleaned`` (the lines that stay), ``lost`` (share of words gone), ``kept``.
 
     A line goes when a rule for lines fails or when it repeats an earlier line; blank lines are left out of ``cleaned``.
     ``kept`` is false if a base rule fails or if more than half of the words stood in lines that went.
     """
-    start = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
+    start = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = start.withColumns(
         {
-            "_q_words": words_of(F.col("_q_text")),
-            "_q_lines": F.filter(F.split("_q_text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != ""),
+            "words": words_of(F.col("text")),
+            "lines": F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != ""),
         }
     )
-    hashed = parts.withColumns(
-        {"_q_hashes": repeat_words(F.col("_q_words")), "_q_distinct": F.array_distinct("_q_lines")}
-    )
+    hashed = parts.withColumns({"hashes": repeat_words(F.col("words")), "distinct": F.array_distinct("lines")})
     counted = hashed.withColumns(
         {
-            "n_words": F.size("_q_words").cast("long"),
-            "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
-            "n_symbols": without(F.col("_q_text"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("_q_lines") - F.size("_q_distinct")).cast("long"),
-            "n_repeat_words": covered_words(F.col("_q_hashes")).cast("long"),
+            "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_symbols": without(F.col("text"), SYMBOLS).cast("long"),
+            "n_dup_lines": (F.size("lines") - F.size("distinct")).cast("long"),
+            "n_repeat_words": covered_words(F.col("hashes")).cast("long"),
         }
     )
-    cleaned = counted.withColumn(
-        "_q_kept", F.filter("_q_distinct", lambda x: ~line_fails(x, F.col("n_symbols") > 0))
-    ).withColumn("cleaned", F.array_join("_q_kept", "\n"))
+    # Two lambdas, as an expression of the whole text inside a lambda is computed anew for each line.
+    noisy, plain = F.filter("distinct", lambda x: ~line_fails(x, True)), F.filter("distinct", lambda x: ~line_fails(x, False))
+    cleaned = counted.withColumn("stay", F.when(F.col("n_symbols") > 0, noisy).otherwise(plain)).withColumn(
+        "cleaned", F.array_join("stay", "\n")
+    )
     base = cleaned.withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "n_kept_words": F.when(F.size("_q_kept") == F.size("_q_lines"), F.col("n_words")).otherwise(
+            "n_kept_words": F.when(F.size("stay") == F.size("lines"), F.col("n_words")).otherwise(
                 F.size(words_of(F.col("cleaned"))).cast("long")
             ),
         }
@@ -149,28 +152,21 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     lost = base.withColumn(
         "lost", F.when(F.col("n_words") == 0, F.lit(1.0)).otherwise(1 - F.col("n_kept_words") / F.col("n_words"))
     )
-    return lost.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MAX_LOST)).drop(
-        *[f"_q_{c}" for c in ("text", "words", "lines", "hashes", "distinct", "kept")]
-    )
-
-
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    verdict = lost.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MAX_LOST))
+    return verdict.select("doc", F.struct(*COUNTS, "cleaned", "base_failed", "n_kept_words", "lost", "kept").alias("quality"))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return quality(docs).select("doc_id", *COUNTS, "base_failed", "kept", "n_kept_words")
+    found = quality(docs)
+    return found.select("doc.doc_id", *[f"quality.{c}" for c in (*COUNTS, "base_failed", "kept", "n_kept_words")])
 
 
 def passed(docs: DataFrame) -> DataFrame:
     """The stage of the pipeline: documents that pass, with the failing lines gone from their text."""
-    names = docs.columns
     # The optimizer would push the verdict below the expressions that it is made of, and write them out once for each use;
     # a number that isn't deterministic keeps the filter where it is.
-    judged = quality(docs).withColumn("_q_row", F.monotonically_increasing_id())
-    out = judged.filter("kept AND _q_row >= 0")
-    return out.select(
-        *[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias("n_chars")
-          if c == "n_chars" else F.col(c) for c in names]
-    )
+    judged = quality(docs).withColumn("row", F.monotonically_increasing_id()).filter("quality.kept AND row >= 0")
+    replaced = {"text": F.col("quality.cleaned"), "n_chars": F.length("quality.cleaned").cast("long")}
+    return judged.select(*[replaced.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

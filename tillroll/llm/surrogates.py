@@ -261,7 +261,9 @@ def op9_pii_surrogates(spark, sf_dir: str) -> DataFrame:
 
 def anonymous(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """The stage of the pipeline: the same documents and columns, with surrogates in the text."""
-    out = pseudonymised(docs, key)
+    # columns that have the names of the operator's own pass it under other ones
+    aside = {c: f"{c}_of_{'_'.join(docs.columns)}" for c in ("entities", "n_entities") if c in docs.columns}
+    out = pseudonymised(docs.withColumnsRenamed(aside), key)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
