@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from helpers import SMALL
+
 from tillroll.llm import toxicity as t
 
 #: The next smaller table has 6 toxic documents that are held out, this one 97.
@@ -19,7 +21,22 @@ def test_held_out_accuracy(spark):
     bad, good = [x for x, y in held if y], [x for x, y in held if not y]
     wins = sum((a > b) + 0.5 * (a == b) for a in bad for b in good)
     assert wins / (len(bad) * len(good)) > 0.9
-    assert sum(x >= 0.5 for x in bad) >= 0.6 * len(bad) and sum(x >= 0.5 for x in good) <= 0.02 * len(good)
+    assert sum(x >= 0.5 for x in bad) >= 0.7 * len(bad) and sum(x >= 0.5 for x in good) <= 0.02 * len(good)
+
+
+def test_a_passage_in_a_long_text_counts(spark):
+    """A long clean text scores higher with a toxic one put into its middle."""
+    docs, labels = (spark.read.parquet(f"{LARGE}/{x}.parquet") for x in ("documents", "labels"))
+    both = [(r.text, r.toxic) for r in docs.join(labels, "doc_id").filter("text IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 = 0").collect()]
+    model = t.fitted(docs, labels)
+    pair = [t.compressor(model.toxic), t.compressor(model.ordinary)]
+    score = lambda text: float(model.scores(np.array([t.features(*t.gains(text, *pair), model.threshold)]))[0])
+    passages = sorted((x for x, y in both if y), key=len)[-30:]
+    clean = max((x for x, y in both if not y and score(x) < 0.1), key=len)
+    assert len(clean) > 5000
+    half = len(clean) // 2
+    raised = [score(f"{clean[:half]} {p} {clean[half:]}") > score(clean) for p in passages]
+    assert sum(raised) >= 0.8 * len(raised)
 
 
 def test_held_out_labels_and_other_columns_do_not_matter(spark):

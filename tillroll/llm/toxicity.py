@@ -6,8 +6,11 @@ Training (on the driver, from a bounded sample of labelled rows: at most ``SAMPL
 1. Stems (starts of words) that stand in more contexts of toxic texts than chance allows make the toxic dictionary; contexts are counted once,
    so copies and shared passages don't weigh. The ordinary dictionary has other words of ordinary texts in their place. Both start from the same
    common words, so that ordinary language compresses alike with either.
-2. Windows of about ``WINDOW`` bytes are compressed with both (zstandard, raw literals, so a match of a whole stem shows). The difference of
-   the lengths, summed over a text's windows, for each 1000 bytes, is calibrated by a logistic regression.
+2. Windows of about ``WINDOW`` bytes are compressed with both (zstandard, raw literals, so a match of a whole stem shows). A threshold of the
+   difference of the lengths is set where it parts the windows of both classes best. Mean difference, best window, and the windows from
+   the threshold on (share and number) are calibrated by a logistic regression.
+
+Dictionaries trained on the texts themselves were tried first: their common language drowns what sets the classes apart (see README).
 
 Scoring is one scan over whole texts; each text's score depends on its text alone. Nothing is shuffled but the sampled labels.
 
@@ -118,19 +121,38 @@ def lengths(with_: zstandard.ZstdCompressor, text: bytes, cut: list[tuple[int, i
     return np.array([len(out[i]) for i in range(len(out))])
 
 
-def features(text: str, toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> list[float]:
+def gains(text: str, toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> tuple[np.ndarray, int]:
+    """For each window the bytes that the toxic dictionary saves against the ordinary one, and the bytes of the text."""
     data = text.lower().encode()
     cut = windows(data)
     if not cut:
-        return [0.0]
-    gain = lengths(ordinary, data, cut) - lengths(toxic, data, cut)
-    return [1000 * float(gain.sum()) / len(data)]
+        return np.zeros(0), 0
+    return lengths(ordinary, data, cut) - lengths(toxic, data, cut), len(data)
+
+
+def features(gain: np.ndarray, size: int, threshold: int) -> list[float]:
+    """Mean gain, the best window, and windows from the threshold on: for each 1000 bytes and in number.
+
+    The best window and the number don't shrink with the length of the text, so a passage in a long text counts.
+    """
+    if not size:
+        return [0.0] * 4
+    over = int((gain >= threshold).sum())
+    return [1000 * float(gain.sum()) / size, float(gain.max()), 1000 * over / size, math.log1p(over)]
+
+
+def window_threshold(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> int:
+    """The gain that parts the windows of toxic texts best from those of ordinary ones (the largest difference of shares)."""
+    a, b = (np.concatenate([np.zeros(0), *side]) for side in (toxic, ordinary))
+    most = int(max(a.max(initial=1), 1))
+    return max(range(1, most + 1), key=lambda t: (a >= t).mean() - (b >= t).mean()) if len(a) and len(b) else 1
 
 
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
+    threshold: int
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -167,9 +189,11 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     other = (" " + " ".join(rest)).encode()[: len(own) - 1].ljust(len(own))
     dictionaries = common + own, common + other
     pair = [compressor(d) for d in dictionaries]
-    rows = np.array([features(t, *pair) for t in toxic + ordinary])
+    found = [gains(t, *pair) for t in toxic + ordinary]
+    threshold = window_threshold([g for g, _ in found[: len(toxic)]], [g for g, _ in found[len(toxic) :]])
+    rows = np.array([features(*x, threshold) for x in found])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    return Model(*dictionaries, *logistic(rows, y, prior))
+    return Model(*dictionaries, threshold, *logistic(rows, y, prior))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -198,7 +222,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if model and batch.num_rows:
-                out = model.scores(np.array([features(t or "", *pair) for t in batch.column("text").to_pylist()]))
+                out = model.scores(np.array([features(*gains(t or "", *pair), model.threshold) for t in batch.column("text").to_pylist()]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
