@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,13 +72,54 @@ def test_skew(spark):
 
 def test_nuniques(frame):
     got = {r["column_name"]: (r["n_all"], r["n_gender_0"], r["n_gender_1"]) for r in
-           cohort.nuniques_by_group(frame, "gender").collect()}
+           cohort.nuniques_by_group(frame, "gender", [0, 1]).collect()}
     assert got == {"gender": (2, 1, 1), "MCC": (3, 2, 2), "day": (5, 3, 3), "time": (6, 4, 3), "hour": (5, 3, 3)}
 
 
-def test_too_many_groups(spark):
-    with pytest.raises(ValueError, match="more than"):
-        cohort.group_values(spark.range(2000), "id")
+def test_nuniques_of_any_number_of_groups(spark, frame):
+    got = {(r["group_key"], r["column_name"]): r["n"] for r in cohort.nuniques_long(frame, "day").collect()}
+    rows = frame.dropna(subset=["day"]).collect()
+    want = {}
+    for day in {r["day"] for r in rows}:
+        for c in frame.columns:
+            values = {r[c] for r in rows if r["day"] == day and r[c] is not None}
+            if values:
+                want[(day, c)] = len(values)
+    assert got == want
+    many = spark.range(30_000).select((F.col("id") % 12_000).alias("g"), F.col("id").alias("x"))
+    assert cohort.nuniques_long(many, "g").filter("column_name = 'x'").agg(F.count("n"), F.min("n"), F.max("n")).first()[:] == (12_000, 2, 3)
+
+
+def test_sketches_merge_within_their_error(spark):
+    df = spark.range(200_000).select((F.col("id") % 16).alias("g"), (F.col("id") % 50_000).alias("x"), F.lit(None).cast("int").alias("none"))
+    sketches = cohort.nunique_sketches(df, "g").cache()
+    assert {r["column_name"] for r in sketches.collect()} == {"g", "x"}
+    got = {r["column_name"]: r["n"] for r in cohort.merged_nuniques(sketches).collect()}
+    assert got["g"] == 16 and abs(got["x"] / 50_000 - 1) < 4 * 1.04 / 2 ** (cohort.SKETCH_BITS / 2)
+    each = cohort.merged_nuniques(sketches.filter("column_name = 'x'"), ["group_key"]).collect()
+    errors = [abs(r["n"] / 3125 - 1) for r in each]
+    assert len(each) == 16 and sum(errors) / 16 < 2 * 1.04 / 2 ** (cohort.SKETCH_BITS / 2)
+
+
+@pytest.mark.parametrize("values", [[1, 2, 3, 4, 100], list(range(500)) * 3, [5] * 9 + [7], [3, 3, 3], [0, 10]])
+def test_automatic_bins_are_those_of_numpy(spark, values):
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "gender int, MCC double")
+    edges = np.histogram_bin_edges(np.array(values, float), "auto")
+    plan = cohort.automatic_bins(df).first()
+    assert plan["bins"] == len(edges) - 1
+    counts = {}
+    for r in cohort.automatic_histogram(df).collect():
+        counts[r["bin"]] = counts.get(r["bin"], 0) + r["n"]
+    if min(values) < max(values):
+        want = np.histogram(np.array(values, float), edges)[0]
+        assert counts == {i: n for i, n in enumerate(want.tolist()) if n}
+    else:
+        assert counts == {0: len(values)}
+
+
+def test_automatic_bins_of_nothing(spark):
+    empty = spark.createDataFrame([], "gender int, MCC int")
+    assert cohort.automatic_bins(empty).collect() == [] and cohort.automatic_histogram(empty).collect() == []
 
 
 def test_count_slice(frame):

@@ -13,7 +13,7 @@ from tillroll.operators.percentiles import percentiles_by
 
 HOURS = range(24)
 QUARTILES = [0.25, 0.5, 0.75]
-MAX_GROUPS = 1000
+SKETCH_BITS = 12
 
 
 def non_null_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,23 +125,13 @@ def exclusive_codes(df: DataFrame) -> DataFrame:
     )
 
 
-def group_values(df: DataFrame, grouper: str) -> list:
-    """The non-null values of a column that forms few groups."""
-    found = df.select(grouper).dropna().distinct().limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"{grouper} has more than {MAX_GROUPS} values")
-    return sorted(row[0] for row in found)
-
-
-def nuniques_by_group(df: DataFrame, grouper: str, groups: Sequence | None = None) -> DataFrame:
+def nuniques_by_group(df: DataFrame, grouper: str, groups: Sequence) -> DataFrame:
     """Distinct non-null values of every column: over all rows and per group, one line per column.
 
     Values are reduced to distinct (column, value) pairs with a flag per group
-    first, so no task gathers the values of a column. Each group is one column
-    of the result; without ``groups`` they are looked up.
+    first, so no task gathers the values of a column. Each of the given groups is one column
+    of the result; ``nuniques_long`` has a line for each and no bound.
     """
-    if groups is None:
-        groups = group_values(df, grouper)
     cells = df.select(
         F.col(grouper).alias("group_key"),
         F.explode(
@@ -156,6 +146,28 @@ def nuniques_by_group(df: DataFrame, grouper: str, groups: Sequence | None = Non
     )
 
 
+def _cells(df: DataFrame, grouper: str) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns]
+    cells = df.select(F.col(grouper).alias("group_key"), F.explode(F.array(*pairs)).alias("cell")).select("group_key", "cell.*")
+    return cells.filter("group_key IS NOT NULL AND value IS NOT NULL")
+
+
+def nuniques_long(df: DataFrame, grouper: str) -> DataFrame:
+    """(group_key, column_name, n): distinct non-null values of every column in every group, however many groups there are."""
+    values = _cells(df, grouper).groupBy("group_key", "column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    return values.groupBy("group_key", "column_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nunique_sketches(df: DataFrame, grouper: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """(group_key, column_name, sketch): mergeable sketches of the distinct values, of at most ``2^bits`` registers each."""
+    return _cells(df, grouper).groupBy("group_key", "column_name").agg(F.hll_sketch_agg("value", F.lit(bits)).alias("sketch"))
+
+
+def merged_nuniques(sketches: DataFrame, by: Sequence[str] = ("column_name",)) -> DataFrame:
+    """Distinct values (about ``1.04 / sqrt(2^bits)`` off) over the groups of stored sketches, without the rows behind them."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def described(df: DataFrame, value: str, by: Sequence[str] = (), limits: Limits = DEFAULT) -> DataFrame:
     """count, mean, std, min, quartiles, max of a column, per group or over the whole table."""
     stats = [
@@ -187,6 +199,39 @@ def code_histogram(df: DataFrame, bins: int) -> DataFrame:
     return rows.groupBy("gender", number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def automatic_bins(df: DataFrame, column: str = "MCC", limits: Limits = DEFAULT) -> DataFrame:
+    """(``low``, ``high``, ``width``, ``bins``) of a column, chosen from its data.
+
+    The width is the smaller of two: twice the interquartile range over the cube root of the size, which fits large columns (but not
+    less than half the range over the root of the size, so that bins stay few where the quartiles are close), and the range over the
+    binary logarithm of the size plus one, which fits small ones. It is the rule of numpy's ``auto``.
+    """
+    value = F.col(column).cast("double")
+    ends = df.agg(F.count(column).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    quartiles = percentiles_by(df, value, [0.25, 0.75], limits=limits)
+    rows = ends.withColumn("percentiles", quartiles.scalar())
+    spread, size = F.get("percentiles", F.lit(1)) - F.get("percentiles", F.lit(0)), F.col("high") - F.col("low")
+    by_size = size / (F.log2(F.col("n").cast("double")) + 1.0)
+    by_spread = F.greatest(2.0 * spread / F.cbrt(F.col("n").cast("double")), size / F.sqrt(F.col("n").cast("double")) / 2.0)
+    width = F.when(size == 0, F.lit(1.0)).otherwise(F.least(by_spread, by_size))
+    # the noise of roots must not decide whether there is one more bin
+    bins = F.greatest(F.ceil(F.round(size / F.col("width"), 9)), F.lit(1)).cast("int")
+    return rows.filter("n > 0").withColumn("width", width).select("low", "high", "width", bins.alias("bins"))
+
+
+def automatic_histogram(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Counts per gender in equal bins whose number comes from the data; the last bin includes the largest code.
+
+    Bins are small numbers, so the counts combine on the map side whatever the codes.
+    """
+    rows = df.dropna(subset=["gender", "MCC"])
+    plan = automatic_bins(rows, "MCC", limits)
+    low, high, bins = (plan.select(c).scalar() for c in ("low", "high", "bins"))
+    place = F.floor((F.col("MCC").cast("double") - low) * bins / F.nullif(high - low, F.lit(0.0)))
+    number = F.coalesce(F.least(place, bins - 1), F.lit(0)).cast("int")
+    return rows.groupBy("gender", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def day_range(df: DataFrame) -> DataFrame:
     """First and last day, with their dates."""
     return df.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")).select(

@@ -275,6 +275,23 @@ LABELLED_TYPES = {
     "gender": "int",
 }
 
+RAW_TYPES = {c: t for c, t in LABELLED_TYPES.items() if c != "gender"}
+LABEL_TYPES = {"client_id": "bigint", "gender": "int"}
+
+AUTO_BINS = """,
+ends AS (
+  SELECT CAST(count(MCC) AS DOUBLE) AS n, CAST(min(MCC) AS DOUBLE) AS low, CAST(max(MCC) AS DOUBLE) AS high,
+    quantile_cont(CAST(MCC AS DOUBLE), 0.75) - quantile_cont(CAST(MCC AS DOUBLE), 0.25) AS spread FROM dt
+),
+widths AS (
+  SELECT *, (high - low) / (log2(n) + 1::DOUBLE) AS by_size, greatest(2::DOUBLE * spread / cbrt(n), (high - low) / sqrt(n) / 2::DOUBLE) AS by_spread
+  FROM ends
+),
+chosen AS (
+  SELECT low, high, width, CAST(greatest(ceil(round((high - low) / width, 9)), 1) AS INTEGER) AS bins
+  FROM (SELECT *, least(by_spread, by_size) AS width FROM widths)
+)"""
+
 SMALLER_CLASS = "(SELECT min(n) FROM (SELECT count(*) AS n FROM lab GROUP BY gender))"
 
 SCORING = f"""{WINSOR_PARSED},
@@ -443,5 +460,30 @@ ORACLE_SQL: dict[str, str] = {
     "row_split": f"{LABELLED}, c AS (SELECT count(*) AS n, CAST(ceil(0.3::DOUBLE * count(*)) AS BIGINT) AS t FROM lab) "
     "SELECT 'train' AS part, n - t AS n FROM c UNION ALL SELECT 'test', t FROM c "
     "UNION ALL SELECT 'lost', CAST(0 AS BIGINT) UNION ALL SELECT 'gained', CAST(0 AS BIGINT)",
+    "nuniques_long": f"{COHORT} "
+    + " UNION ALL ".join(
+        f"SELECT day AS group_key, '{c}' AS column_name, count(DISTINCT {c}) AS n FROM dt WHERE {c} IS NOT NULL GROUP BY day"
+        for c in COHORT_COLUMNS
+    ),
+    "mcc_bins_auto": f"{COHORT}{AUTO_BINS} SELECT low, high, bins, {four_digits('width')} AS width FROM chosen",
+    "mcc_histogram_auto": f"{COHORT}{AUTO_BINS} SELECT gender, CAST(least(floor((CAST(MCC AS DOUBLE) - low) * bins / (high - low)), "
+    "bins - 1) AS INTEGER) AS bin, count(*) AS n FROM dt, chosen GROUP BY 1, 2",
+    "gender_day_rows": f"{COHORT} SELECT gender, day, count(MCC) AS MCC, count(time) AS time, count(hour) AS hour "
+    f"FROM dt GROUP BY gender, day ORDER BY day, gender OFFSET {FIRST_LINE}",
+    "raw_null_profile": f"WITH {TXN} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS n_null, "
+        f"count({c}) AS n_non_null FROM {source}"
+        for name, source, types in (("transactions", "txn", RAW_TYPES), ("labels", "labels_known", LABEL_TYPES))
+        for c, t in types.items()
+    ),
+    "csv_round_trip": f"WITH {TXN} SELECT * FROM txn",
+    "rejected_rows": f"WITH {TXN} SELECT 'mcc_code' AS column_name, 'x' || CAST(mcc_code AS VARCHAR) AS value, count(*) AS n FROM txn "
+    "WHERE mcc_code % 97 = 0 GROUP BY 2 UNION ALL SELECT 'amount', '12,5', count(*) FROM txn "
+    "WHERE CAST(round(amount * 100) AS BIGINT) % 89 = 0",
+    "submission_file": f"WITH {TXN}, known AS (SELECT * FROM txn WHERE client_id IN "
+    "(SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 5 = 0)) "
+    "SELECT count(*) AS n_rows, count(DISTINCT client_id) AS n_clients, 0::DOUBLE AS lowest, 1::DOUBLE AS highest FROM known",
 }
+
 ORACLE_SQL |= {f"{name}_hot": ORACLE_SQL[name] for name in BY_LIMITS}

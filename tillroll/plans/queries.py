@@ -15,11 +15,14 @@ from tillroll.operators import clients, cohort, habits, profile, sampling
 from tillroll.operators.encoding import ordered_target_encoding, permutation_place
 from tillroll.operators.hotkeys import Limits
 from tillroll.operators.joins import day_time, labelled, of_clients
-from tillroll.operators.lineage import written
+from tillroll.operators.lineage import new_path, written
 from tillroll.operators.ranks import auc_of
 from tillroll.operators.scaling import minmax_scaled, winsorized
 from tillroll.plans import features, model
 from tillroll.sources import driver_tables as tables
+from tillroll.sources.readers import checked, read_transactions, rejected
+from tillroll.sources.schema import TRANSACTIONS
+from tillroll.sources.writers import commit_predictions, read_predictions
 
 Query = Callable[[SparkSession, str], DataFrame]
 Bound = Callable[[SparkSession, str], Limits]
@@ -301,6 +304,57 @@ def row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes[0].unionByName(sizes[1]).unionByName(changed)
 
 
+def amount_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probability for every transaction of the unlabelled clients that needs no training: how far the amount lies above the least."""
+    rows = test(spark, sf_dir)
+    low, high = (rows.agg(f("amount").alias("x")).scalar() for f in (F.min, F.max))
+    return rows.select("client_id", F.round((F.col("amount") - low) / F.nullif(high - low, F.lit(0.0)), 6).alias("probability"))
+
+
+def submission_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in a committed file of predictions: rows, clients, least and largest probability."""
+    path = new_path(spark, "result")
+    commit_predictions(amount_score(spark, sf_dir), path)
+    return read_predictions(spark, path).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("client_id").alias("n_clients"),
+        F.min("probability").alias("lowest"), F.max("probability").alias("highest"),
+    )
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions written as text and read back by the reader."""
+    path = new_path(spark, "csv")
+    txn(spark, sf_dir).write.option("header", True).csv(f"{path}/transactions.csv")
+    return read_transactions(spark, path)
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that the reader does not accept, by column, after every 97th code and every 89th amount was spoilt."""
+    path = new_path(spark, "csv")
+    rows = txn(spark, sf_dir)
+    cents = F.round(F.col("amount") * 100).cast("long")
+    spoilt = rows.withColumns({
+        "mcc_code": F.when(F.pmod("mcc_code", F.lit(97)) == 0, F.concat(F.lit("x"), F.col("mcc_code").cast("string"))).otherwise(F.col("mcc_code").cast("string")),
+        "amount": F.when(F.pmod(cents, F.lit(89)) == 0, F.lit("12,5")).otherwise(F.col("amount").cast("string")),
+    })
+    spoilt.write.option("header", True).csv(f"{path}/transactions.csv")
+    found, _ = checked(spark, f"{path}/transactions.csv", TRANSACTIONS)
+    cells = rejected(found).select(F.explode("rejects").alias("cell")).select("cell.*")
+    return cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mcc_bins_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins that the codes of the labelled transactions get."""
+    return four_digits(cohort.automatic_bins(cohort_rows(spark, sf_dir), "MCC", limits(spark, sf_dir)))
+
+
+def raw_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values of the raw transactions and of the label table, by column."""
+    parts = {"transactions": txn(spark, sf_dir), "labels": tables.labels(spark, sf_dir)}
+    found = [profile.null_profile(df).withColumn("table_name", F.lit(name)) for name, df in parts.items()]
+    return found[0].unionByName(found[1])
+
+
 def held_out_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Written features of four fifths of the labelled clients, and of the fifth held out."""
     rows = train(spark, sf_dir)
@@ -409,7 +463,7 @@ QUERIES: dict[str, Query] = {
     "gender_skew_by_mcc": lambda s, d: cohort.gender_skew(train(s, d)),
     "gender_skew_joined": lambda s, d: cohort.with_gender_skew(train(s, d), limits(s, d)).select("client_id", "mcc_code", "amount", "dif"),
     "exclusive_mcc": exclusive_mcc,
-    "nuniques_by_group": lambda s, d: cohort.nuniques_by_group(cohort_rows(s, d), "gender"),
+    "nuniques_by_group": lambda s, d: cohort.nuniques_by_group(cohort_rows(s, d), "gender", [0, 1]),
     "describe_amount_by_gender": describe_amount_by_gender,
     "mcc_histogram": lambda s, d: cohort.code_histogram(cohort_rows(s, d), HISTOGRAM_BINS),
     "null_profile": lambda s, d: profile.null_profile(train(s, d)),
@@ -426,6 +480,14 @@ QUERIES: dict[str, Query] = {
     "target_encoding": target_encoding,
     "auc_of_amount": lambda s, d: auc_of(train(s, d), "amount", "gender"),
     "auc_of_income_by_type": auc_of_income_by_type,
+    "nuniques_long": lambda s, d: cohort.nuniques_long(cohort_rows(s, d), "day"),
+    "mcc_bins_auto": mcc_bins_auto,
+    "mcc_histogram_auto": lambda s, d: cohort.automatic_histogram(cohort_rows(s, d), limits(s, d)),
+    "gender_day_rows": lambda s, d: cohort.count_slice(cohort_rows(s, d), FIRST_LINE, None, ["day", "gender"]),
+    "raw_null_profile": raw_null_profile,
+    "csv_round_trip": csv_round_trip,
+    "rejected_rows": rejected_rows,
+    "submission_file": submission_file,
     "validation_curve": validation_curve,
     "model_auc": model_auc,
     "submission": submission,

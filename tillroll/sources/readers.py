@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,49 @@ def _typed(field: T.StructField, source: T.DataType) -> Column:
     return typed.alias(field.name)
 
 
+def _given(field: T.StructField, source: T.DataType) -> Column:
+    """Whether a column holds something, that is not one of the texts that stand for "missing" and not NaN."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(source, T.StringType):
+        return value.isNotNull() & ~value.isin(MISSING_TEXTS)
+    return value.isNotNull() & ~F.isnan(value) if isinstance(source, T.DoubleType | T.FloatType) else value.isNotNull()
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    raw, types = _raw(spark, path, schema, fmt)
+    return raw.select(*[_typed(f, types[f.name]) for f in schema])
+
+
+def checked(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> tuple[DataFrame, Observation]:
+    """The typed rows with ``rejects``: the columns whose text could not be read as their type, with that text.
+
+    The observation counts ``rows``, ``rejected`` rows and, as ``bad_<column>``, the cells of each column, in the same scan as whatever
+    action is run on the rows; ``accepted`` and ``rejected`` part them.
+    """
+    raw, types = _raw(spark, path, schema, fmt)
+    bad = {f.name: _given(f, types[f.name]) & _typed(f, types[f.name]).isNull() for f in schema}
+    found = [F.when(b, F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))) for c, b in bad.items()]
+    rows = raw.select(*[_typed(f, types[f.name]) for f in schema], F.filter(F.array(*found), lambda x: x.isNotNull()).alias("rejects"))
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.size("rejects") > 0).alias("rejected")]
+    return rows.observe(seen, *counts, *[F.count_if(_holds(c)).alias(f"bad_{c}") for c in bad]), seen
+
+
+def _holds(column: str) -> Column:
+    return F.exists("rejects", lambda x: x["column_name"] == column)
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """Rows of ``checked`` in which every cell was read."""
+    return rows.filter(F.size("rejects") == 0).drop("rejects")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """Rows of ``checked`` with the cells that were not read."""
+    return rows.filter(F.size("rejects") > 0)
+
+
+def _raw(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> tuple[DataFrame, dict[str, T.DataType]]:
     if fmt == "csv":
         raw = spark.read.option("header", True).csv(path)
     elif fmt == "parquet":
@@ -39,8 +81,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> Dat
     missing = [f.name for f in schema if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    types = {f.name: f.dataType for f in raw.schema}
-    return raw.select(*[_typed(f, types[f.name]) for f in schema])
+    return raw, {f.name: f.dataType for f in raw.schema}
 
 
 def read_transactions(spark: SparkSession, base: str, name: str = "transactions.csv", fmt: str = "csv") -> DataFrame:
