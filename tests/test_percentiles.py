@@ -102,3 +102,30 @@ def test_minmax(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, None)], "a double, b double")
     got = sorted(map(tuple, minmax_scaled(df, ["a", "b"]).collect()), key=str)
     assert got == sorted([(0.0, 0.0), (1000.0, 0.0), (None, None)], key=str)
+
+
+def test_large_groups_are_read_twice(spark):
+    rows = spark.range(0, 30_000, 1, 4).select((F.col("id") % 2).alias("g"), (F.hash("id") / 7.0).alias("value"), F.lit(1).cast("long").alias("weight"))
+    want = as_lists(P._in_one_task(rows, ["g"], PROBABILITIES))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = as_lists(P._by_sketch(rows.mapInArrow(counted, rows.schema), ["g"], PROBABILITIES))
+    assert seen.value == 2 * 30_000
+    assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got
+
+
+def test_a_sketch_that_is_off_is_noticed(spark, values, monkeypatch):
+    """With ranges of no width the ranks lie beside them, and all rows are narrowed."""
+    monkeypatch.setattr(P, "SKETCH_MARGIN", 0)
+    monkeypatch.setattr(P, "SKETCH_ACCURACY", 3)
+    narrowed = []
+    real = P._narrow
+    monkeypatch.setattr(P, "_narrow", lambda rows, *rest: narrowed.append(rows.columns) or real(rows, *rest))
+    want = as_lists(P.percentiles_by(values, F.col("v"), PROBABILITIES, ["g"]))
+    got = as_lists(P.percentiles_by(values, F.col("v"), PROBABILITIES, ["g"], limits=HOT))
+    assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got and len(narrowed) == 1

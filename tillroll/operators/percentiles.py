@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from tillroll.operators.lineage import pinned, written
 
 MAX_BINS = 1 << 16
 MAX_CELLS = 1 << 24
+#: Accuracy of the sketch, and how many of its errors a range reaches to both sides of the wanted rank.
+SKETCH_ACCURACY, SKETCH_MARGIN = 10_000, 2
 
 
 def percentiles_by(
@@ -26,7 +30,8 @@ def percentiles_by(
 
     ``weight`` counts how often a value occurs. Groups of ordinary size use
     Spark's ``percentile``, which keeps a group's distinct values in one task;
-    larger groups are narrowed down by counting, see ``_narrow``.
+    larger groups are read twice, see ``_by_sketch``, or with weights narrowed
+    down by counting, see ``_narrow``.
     """
     keys = list(by) or ["whole_table"]
     source = df if by else df.withColumn("whole_table", F.lit(0))
@@ -36,7 +41,7 @@ def percentiles_by(
     out = hot_keys(rows, keys, limits).apply(
         rows,
         lambda part: _in_one_task(part, keys, probabilities),
-        lambda part: _narrow(part, keys, probabilities),
+        lambda part: (_by_sketch if weight is None else _narrow)(part, keys, probabilities),
     )
     return out if by else out.drop("whole_table")
 
@@ -53,6 +58,42 @@ def _image(value: Column) -> Column:
     return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
+def _by_sketch(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Percentiles of few but large groups from two scans of the rows.
+
+    The first scan's mergeable sketch gives for each wanted rank a range of values that holds it, a few ten-thousandths of the
+    group wide. The second counts every value inside a range by itself and all rows between two ranges as one, at the border
+    below them, which keeps the order. What is left is a small table of values and counts with the same percentiles as the rows,
+    on which ``_narrow`` finds them. Counts tell whether every rank does lie in its range; where a sketch was off, all rows
+    are narrowed instead, so the answer is exact in any case.
+    """
+    margin = SKETCH_MARGIN / SKETCH_ACCURACY
+    shares = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)]
+    wanted = F.array(*[F.lit(x) for x in shares])
+    found = pinned(
+        rows.groupBy(*keys).agg(
+            F.sum("weight").alias("rows"), F.min("value").alias("least"), F.percentile_approx("value", wanted, F.lit(SKETCH_ACCURACY)).alias("borders")
+        )
+    )
+    value, border = F.col("value"), lambda i: F.get("borders", F.lit(i))
+    inside = reduce(or_, [value.between(border(2 * i), border(2 * i + 1)) for i in range(len(probabilities))])
+    below = F.coalesce(F.array_max(F.filter("borders", lambda b: b <= value)), F.col("least"))
+    met = rows.join(F.broadcast(found), list(keys)).withColumn("inside", inside)
+    counted = met.groupBy(*keys, "inside", F.when(F.col("inside"), value).otherwise(below).alias("at")).agg(F.sum("weight").alias("weight"))
+    small = written(counted)
+    checks = []
+    for i, p in enumerate(probabilities):
+        rank = F.lit(float(p)) * (F.col("rows") - 1)
+        low, high, at = border(2 * i), border(2 * i + 1), F.col("at")
+        lower = F.sum(F.when(at < low, F.col("weight")).otherwise(0))
+        upto = F.sum(F.when(F.when(F.col("inside"), at <= high).otherwise(at < high), F.col("weight")).otherwise(0))
+        checks.append((lower <= F.floor(F.first(rank))) & (upto > F.ceil(F.first(rank))))
+    held = small.join(F.broadcast(found), list(keys)).groupBy(*keys).agg(reduce(and_, checks).alias("held"))
+    if not held.filter("NOT held").isEmpty():
+        return _narrow(rows, keys, probabilities)
+    return _narrow(small.select(*keys, F.col("at").alias("value"), "weight"), keys, probabilities)
+
+
 def _narrow(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Percentiles of few but large groups.
 
@@ -157,6 +198,6 @@ def column_percentiles(
         ).alias("cell"),
         (F.lit(1) if weight is None else weight).alias("weight"),
     ).select("cell.*", "weight")
-    found = percentiles_by(stacked, F.col("value"), probabilities, ["column_name"], F.col("weight"), limits)
+    found = percentiles_by(stacked, F.col("value"), probabilities, ["column_name"], None if weight is None else F.col("weight"), limits)
     wide = found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("percentiles"))).alias(c) for c in columns])
     return {c: [wide.select(F.get(F.col(c), F.lit(i))).scalar() for i in range(len(probabilities))] for c in columns}
