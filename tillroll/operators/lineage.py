@@ -28,10 +28,29 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths handed out in this process and not discarded yet.
+_handed_out: list[str] = []
+
+
 def new_path(spark: SparkSession, kind: str = "table") -> str:
     """An unused path in the checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4()}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4()}"
+    _handed_out.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written with ``written`` and ``new_path``, and returns their number.
+
+    To be called when the results that were built on them are stored: what is still to be computed from them fails afterwards.
+    """
+    number = len(_handed_out)
+    for path in _handed_out:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _handed_out.clear()
+    return number
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -1,12 +1,10 @@
 """SQL counterparts of the registered queries, written for DuckDB over the same tables.
 
-Independent of the Spark code except for the code ranges, which both take from
-``MCC_BANDS``.
+Independent of the Spark code but for a few constants of the questions (codes, days, lines).
 """
 
 from __future__ import annotations
 
-from tillroll.functions.mcc import MCC_BANDS
 from tillroll.plans.queries import (
     BARS,
     BY_LIMITS,
@@ -96,13 +94,33 @@ def rounded(named: dict[str, str]) -> str:
     return columns({name: four_digits(expression) for name, expression in named.items()})
 
 
-def group_case() -> str:
-    tests = []
-    for group, ranges in MCC_BANDS.items():
-        inside = " OR ".join(f"(mcc_code >= {low} AND mcc_code < {high})" for low, high in ranges)
-        tests.append(f"WHEN {inside} THEN {group}")
-    return f"CASE {' '.join(tests)} ELSE mcc_code END"
-
+#: The borders of the code groups, written out apart from the library's own table.
+GROUP_CASE = """CASE
+  WHEN (mcc_code >= 724 AND mcc_code < 1799) THEN 1
+  WHEN (mcc_code >= 1799 AND mcc_code < 2842) OR (mcc_code >= 4900 AND mcc_code < 5200) OR (mcc_code >= 5714 AND
+  mcc_code < 5715) OR (mcc_code >= 9702 AND mcc_code < 9752) THEN 2
+  WHEN (mcc_code >= 2842 AND mcc_code < 3299) THEN 3
+  WHEN (mcc_code >= 3299 AND mcc_code < 3441) OR (mcc_code >= 7511 AND mcc_code < 7519) THEN 4
+  WHEN (mcc_code >= 3441 AND mcc_code < 3882) OR (mcc_code >= 6760 AND mcc_code < 7011) THEN 5
+  WHEN (mcc_code >= 3882 AND mcc_code < 4789) THEN 6
+  WHEN (mcc_code >= 4789 AND mcc_code < 4900) THEN 7
+  WHEN (mcc_code >= 5200 AND mcc_code < 5499) THEN 8
+  WHEN (mcc_code >= 5499 AND mcc_code < 5599) OR (mcc_code >= 5699 AND mcc_code < 5714) OR (mcc_code >= 5969 AND
+  mcc_code < 5999) THEN 9
+  WHEN (mcc_code >= 5599 AND mcc_code < 5699) THEN 10
+  WHEN (mcc_code >= 5715 AND mcc_code < 5735) OR (mcc_code >= 5811 AND mcc_code < 5950) THEN 11
+  WHEN (mcc_code >= 5735 AND mcc_code < 5811) OR (mcc_code >= 5962 AND mcc_code < 5963) OR (mcc_code >= 5999 AND
+  mcc_code < 6760) OR (mcc_code >= 7011 AND mcc_code < 7033) THEN 12
+  WHEN (mcc_code >= 5950 AND mcc_code < 5962) OR (mcc_code >= 5963 AND mcc_code < 5969) THEN 13
+  WHEN (mcc_code >= 7033 AND mcc_code < 7299) THEN 14
+  WHEN (mcc_code >= 7299 AND mcc_code < 7511) OR (mcc_code >= 7519 AND mcc_code < 7523) THEN 15
+  WHEN (mcc_code >= 7523 AND mcc_code < 7699) THEN 16
+  WHEN (mcc_code >= 7699 AND mcc_code < 7999) THEN 17
+  WHEN (mcc_code >= 7999 AND mcc_code < 8351) THEN 18
+  WHEN (mcc_code >= 8351 AND mcc_code < 8699) THEN 19
+  WHEN (mcc_code >= 8699 AND mcc_code < 8999) THEN 20
+  WHEN (mcc_code >= 8999 AND mcc_code < 9702) OR (mcc_code >= 9752 AND mcc_code < 9754) THEN 21
+  ELSE mcc_code END"""
 
 LABELLED = f"WITH {TXN}"
 PARSED = LABELLED + TIMED.format(source="lab")
@@ -307,7 +325,7 @@ wide AS (
   SELECT *, {columns({**MONEY_PER_TXN, **MONEY_ALL, **FREQUENCY_COUNTS, **FREQUENCY_DOUBLES, **HABIT_COUNTS, **HABIT_DOUBLES})}
   FROM parsed {WINDOW}
 )
-SELECT client_id, gender, mcc_code, trans_type, trans_city, term_id, day, hour AS time, {group_case()} AS mcc_describe,
+SELECT client_id, gender, mcc_code, trans_type, trans_city, term_id, day, hour AS time, {GROUP_CASE} AS mcc_describe,
   {rounded({"amount": "amount", "delta_up_down": "least(greatest(delta, low), high)"})},
   {rounded({**same(PROFILE), **same(WEEKDAY_MEAN), **same(DAYS_PER_TXN)})},
   {columns({**same(PROFILE_COUNTS), **same(NUNIQUE)})},
@@ -328,7 +346,7 @@ profile AS (
   SELECT client_id, {columns({**PROFILE, **PROFILE_COUNTS, **NUNIQUE_SECOND, **WEEKDAY})}, {TXN_PER_DAY} AS all_time_freq
   FROM by_second GROUP BY client_id
 )
-SELECT client_id, gender, mcc_code, trans_type, trans_city, {group_case()} AS mcc_describe, all_time_freq,
+SELECT client_id, gender, mcc_code, trans_type, trans_city, {GROUP_CASE} AS mcc_describe, all_time_freq,
   {rounded({**same(PROFILE), "delta_up_down": "amount_up_client_sum - amount_down_client_sum"})},
   {columns({**same(PROFILE_COUNTS), **same(NUNIQUE_SECOND), **same(WEEKDAY)})}
 FROM lab JOIN profile USING (client_id)"""
@@ -337,7 +355,7 @@ ORACLE_SQL: dict[str, str] = {
     "parsed_time": f"WITH {TXN}{TIMED.format(source='txn')} "
     "SELECT client_id, trans_time, day, time, hour, trans_ts, weekday, day_mod7 FROM parsed",
     "signed_split": f"WITH {TXN}{SIGNED.format(source='txn')} SELECT client_id, amount, amount_up, amount_down FROM signed",
-    "mcc_describe": f"WITH {TXN} SELECT client_id, mcc_code, {group_case()} AS mcc_describe FROM txn",
+    "mcc_describe": f"WITH {TXN} SELECT client_id, mcc_code, {GROUP_CASE} AS mcc_describe FROM txn",
     "winsorize_amount": f"{WINSOR_LABELLED} SELECT client_id, "
     f"{rounded({'amount_up': 'amount_up', 'amount_down': 'amount_down'})} FROM winsor",
     "minmax_amount": f"{SIGNED_LABELLED}, ends AS (SELECT min(amount_up) AS u0, max(amount_up) AS u1, "

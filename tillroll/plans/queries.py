@@ -47,9 +47,11 @@ def four_digits(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     The step over nine decimal digits first removes the noise of floating
     sums, so that both engines see the same value on a rounding border.
+    Values that are too large for nine digits have no fourth one to round.
     """
     names = [n for n, t in df.dtypes if t == "double"] if columns is None else columns
-    return df.withColumns({n: F.round(F.col(f"`{n}`").cast("decimal(28,9)"), 4).cast("double") for n in names})
+    rounded = {n: F.round(F.col(f"`{n}`").try_cast("decimal(28,9)"), 4).cast("double") for n in names}
+    return df.withColumns({n: F.coalesce(value, F.col(f"`{n}`")) for n, value in rounded.items()})
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
