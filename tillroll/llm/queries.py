@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import infill, lexical, lines
+from tillroll.llm import infill, lexical, lines, oracle
 from tillroll.llm.chat import op1_chat_formatting
 from tillroll.llm.decontaminate import op2_decontamination
 from tillroll.llm.ngram_join import op3_ngram_jaccard
@@ -31,6 +31,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    **oracle.ORACLE_SQL,
     "op11_fill_in_middle": infill.ORACLE_SQL,
     "op12_ranked_lexical_search": lexical.ORACLE_SQL,
     "op13_line_dedup": lines.ORACLE_SQL,
