@@ -184,7 +184,7 @@ def money_all(spark: SparkSession, sf_dir: str, limits: Bound = limits) -> DataF
 
 def spend_earn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = habits.merged([habits.money_per_transaction_stats(), habits.money_all_stats()])
-    aggregates = {name: agg for s in stats for name, agg in s.aggregates.items()}
+    aggregates = {name: agg for s in stats for name, agg in s.columns().items()}
     table = habits.finished(clients.by_client(train(spark, sf_dir), aggregates), stats)
     return four_digits(
         table.select("client_id", "Money_earn_spend_ratio_per_transaction", "ALL_money_spend_earn_ratio")
