@@ -4,8 +4,9 @@ import pytest
 from helpers import same_rows
 from pyspark.sql import functions as F
 
+from tillroll.functions.amounts import with_signed_amounts
 from tillroll.functions.timeparts import with_time_parts
-from tillroll.operators import habits, hotkeys
+from tillroll.operators import clients, habits, hotkeys
 from tillroll.operators.hotkeys import GroupStats, Limits, hot_keys, lookup, lookup_table
 from tillroll.operators.lineage import written
 
@@ -92,3 +93,38 @@ def test_written_tables_lie_in_the_checkpoint_folder(spark, skewed):
     folder = spark.sparkContext.getCheckpointDir()
     assert all(f.startswith(folder.replace("file:", "file://")) for f in back.inputFiles())
     assert back.dtypes == skewed.dtypes and back.count() == skewed.count()
+
+
+@pytest.mark.parametrize("question", ["profile", "distinct", "joined", "codes"])
+def test_rows_are_read_once_where_hot_clients_are_looked_for(spark, skewed, question):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def answer(df, limits):
+        if question == "profile":
+            return clients.money_profile(with_signed_amounts(df), limits)
+        if question == "distinct":
+            return clients.distinct_counts(df, limits)
+        if question == "joined":
+            features = skewed.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("amount").alias("most"))
+            return clients.joined_back(df, features, limits=limits)
+        return habits.with_code_count(df.filter("mcc_code IS NOT NULL"), limits)
+
+    got = written(answer(skewed.mapInArrow(counted, skewed.schema), Limits(group_rows=60)))
+    assert seen.value == skewed.count()
+    same_rows(got, answer(skewed, Limits(group_rows=60, rows=10)))
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, skewed, monkeypatch):
+    """Memory of a task stays the same where the session's number of shuffle partitions does."""
+    monkeypatch.setattr(hotkeys, "TASK_ROWS", 100)
+    hot = hot_keys(skewed, ["client_id"], Limits(group_rows=3000))
+    assert hot.rows == 3000
+    out = habits.habits(skewed, Limits(group_rows=3000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(client_id" in plan and ", 30), REPARTITION_BY_NUM" in plan
+    same_rows(out, habits.habits(skewed, Limits(rows=10)))

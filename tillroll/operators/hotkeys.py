@@ -22,6 +22,8 @@ from tillroll.operators.rollup import Measure, cells, measured, rolled
 
 GROUP_ROWS = 1_000_000
 MAX_HOT_KEYS = 500_000
+#: Rows that a task of the ordinary way has on average at most, however few shuffle partitions the session sets.
+TASK_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -46,13 +48,28 @@ class Limits:
 DEFAULT = Limits()
 
 
+def read_once(df: DataFrame, limits: Limits) -> DataFrame:
+    """Writes the rows once where hot groups are looked for: from there on many branches start, each of which would repeat the joins
+    behind ``df``. A table too small for hot groups is read as it is."""
+    return df if limits.none_hot() else written(df)
+
+
+def together(df: DataFrame, anchor: str, rows: int | None) -> DataFrame:
+    """The rows of an anchor in one task; ``rows``, the size of ``df`` or a bound of it, gives the least number of tasks."""
+    wanted = ceil((rows or 0) / TASK_ROWS)
+    if wanted <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(anchor)
+    return df.repartition(wanted, anchor)
+
+
 @dataclass(frozen=True)
 class Hot:
-    """Hot groups of some rows: their keys (None when there are none) and the limit they exceed."""
+    """Hot groups of some rows: their keys (None when there are none), the limit they exceed and the number of rows, where known."""
 
     names: tuple[str, ...]
     keys: DataFrame | None
     limit: int
+    rows: int | None = None
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of ``df`` outside and inside the hot groups."""
@@ -76,13 +93,14 @@ class Hot:
 def hot_keys(df: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT) -> Hot:
     """The hot groups of ``df``, from a count with map-side combine that reads the key columns only."""
     if limits.none_hot():
-        return Hot(tuple(keys), None, limits.group_rows)
+        return Hot(tuple(keys), None, limits.group_rows, limits.rows)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
     totals = sizes.agg(F.sum("group_rows").alias("rows"), F.max("group_rows").alias("largest")).first()
-    limit = limits.of(totals["rows"] or 0)
+    rows = totals["rows"] or 0
+    limit = limits.of(rows)
     if (totals["largest"] or 0) <= limit:
-        return Hot(tuple(keys), None, limit)
-    return Hot(tuple(keys), pinned(sizes.filter(F.col("group_rows") > limit).select(*keys)), limit)
+        return Hot(tuple(keys), None, limit, rows)
+    return Hot(tuple(keys), pinned(sizes.filter(F.col("group_rows") > limit).select(*keys)), limit, rows)
 
 
 def lookup(df: DataFrame, side: DataFrame, keys: Sequence[str], rows: str, limit: int) -> DataFrame:
@@ -143,15 +161,17 @@ def attach(
 
     Groups of ordinary size use windows, which share one exchange on ``anchor``.
     Rows of hot anchors go another way: their aggregates are pre-aggregated on
-    the map side and looked up.
+    the map side and looked up. Without ``hot``, the rows are written once before the search.
     """
-    hot = hot or hot_keys(df, [anchor], limits)
+    if hot is None:
+        df = read_once(df, limits)
+        hot = hot_keys(df, [anchor], limits)
     return hot.apply(
-        df, lambda rows: with_windows(rows, stats, anchor), lambda rows: with_lookups(rows, stats, anchor, hot.limit)
+        df, lambda rows: with_windows(rows, stats, anchor, hot.rows), lambda rows: with_lookups(rows, stats, anchor, hot.limit)
     )
 
 
-def with_windows(df: DataFrame, stats: Sequence[GroupStats], anchor: str) -> DataFrame:
+def with_windows(df: DataFrame, stats: Sequence[GroupStats], anchor: str, rows: int | None = None) -> DataFrame:
     """For anchors of ordinary size: one exchange for all windows, and one sort per key list."""
     columns = {}
     for s in stats:
@@ -159,7 +179,7 @@ def with_windows(df: DataFrame, stats: Sequence[GroupStats], anchor: str) -> Dat
         in_group = reduce(and_, [F.col(k).isNotNull() for k in s.keys])
         window = Window.partitionBy(*s.keys)
         columns.update({name: F.when(in_group, agg.over(window)) for name, agg in s.columns().items()})
-    return df.repartition(anchor).withColumns(columns)
+    return together(df, anchor, rows).withColumns(columns)
 
 
 def with_lookups(df: DataFrame, stats: Sequence[GroupStats], anchor: str, limit: int) -> DataFrame:

@@ -10,8 +10,7 @@ from tillroll.functions.mcc import mcc_group
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients
 from tillroll.operators.habits import all_stats, finished
-from tillroll.operators.hotkeys import DEFAULT, GroupStats, Hot, Limits, hot_keys, with_lookups, with_windows
-from tillroll.operators.lineage import written
+from tillroll.operators.hotkeys import DEFAULT, GroupStats, Hot, Limits, hot_keys, read_once, with_lookups, with_windows
 from tillroll.operators.scaling import winsorized
 
 HELPERS = ["amount_up", "amount_down", "weekday", "trans_time", "trans_ts", "day_mod7", "n_rows"]
@@ -23,21 +22,15 @@ def _assembled(df: DataFrame, features: DataFrame, stats: list[GroupStats], hot:
     The wide client features come last, so that the sorts of the windows do not carry them.
     """
     if hot.keys is None:
-        return with_windows(df, stats, "client_id").join(features, "client_id")
+        return with_windows(df, stats, "client_id", hot.rows).join(features, "client_id")
     cold_features, hot_features = hot.split(features)
     return hot.apply(
         df,
-        lambda rows: with_windows(rows, stats, "client_id").join(cold_features, "client_id"),
+        lambda rows: with_windows(rows, stats, "client_id", hot.rows).join(cold_features, "client_id"),
         lambda rows: with_lookups(rows, stats, "client_id", hot.limit).join(F.broadcast(hot_features), "client_id"),
     )
 
 
-def read_once(df: DataFrame, limits: Limits) -> DataFrame:
-    """Writes the rows once where hot clients are looked for: from there on many branches start, each of which would repeat the joins
-    behind ``df``. A table too small for hot clients is read as it is."""
-    return df if limits.none_hot() else written(df)
-
-
 def scoring_features(df: DataFrame, winsorize: bool = True, limits: Limits = DEFAULT) -> DataFrame:
     """Features of the scoring script, one row per transaction.
 
