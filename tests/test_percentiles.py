@@ -129,3 +129,20 @@ def test_a_sketch_that_is_off_is_noticed(spark, values, monkeypatch):
     want = as_lists(P.percentiles_by(values, F.col("v"), PROBABILITIES, ["g"]))
     got = as_lists(P.percentiles_by(values, F.col("v"), PROBABILITIES, ["g"], limits=HOT))
     assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got and len(narrowed) == 1
+
+
+def test_values_are_read_once_where_large_groups_are_looked_for(spark):
+    """What stands behind the rows (joins, for instance) runs once, not again for each search, sketch and count."""
+    rows = spark.range(0, 6_000, 1, 4).select((F.col("id") % 2).alias("g"), (F.hash("id") / 7.0).alias("value"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = rows.mapInArrow(counted, rows.schema)
+    got = as_lists(P.percentiles_by(source, F.col("value"), PROBABILITIES, ["g"], limits=Limits(group_rows=100)))
+    assert seen.value == 6_000
+    want = as_lists(P.percentiles_by(rows, F.col("value"), PROBABILITIES, ["g"]))
+    assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.hotkeys import DEFAULT, Limits, hot_keys
+from tillroll.operators.hotkeys import DEFAULT, Limits, hot_keys, read_once
 from tillroll.operators.lineage import pinned, written
 
 MAX_BINS = 1 << 16
@@ -28,7 +28,8 @@ def percentiles_by(
 ) -> DataFrame:
     """One row per group of ``by`` with the array ``percentiles`` of the non-null values.
 
-    ``weight`` counts how often a value occurs. Groups of ordinary size use
+    ``weight`` counts how often a value occurs. The values are written once
+    before large groups are looked for. Groups of ordinary size use
     Spark's ``percentile``, which keeps a group's distinct values in one task;
     larger groups are read twice, see ``_by_sketch``, or with weights narrowed
     down by counting, see ``_narrow``.
@@ -38,6 +39,7 @@ def percentiles_by(
     rows = source.select(
         *keys, value.cast("double").alias("value"), (F.lit(1) if weight is None else weight).cast("long").alias("weight")
     ).filter(F.col("value").isNotNull() & (F.col("weight") > 0))
+    rows = read_once(rows, limits)
     out = hot_keys(rows, keys, limits).apply(
         rows,
         lambda part: _in_one_task(part, keys, probabilities),
