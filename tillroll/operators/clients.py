@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import weekday_of
 from tillroll.operators import rollup
-from tillroll.operators.hotkeys import DEFAULT, Hot, Limits, hot_keys
+from tillroll.operators.hotkeys import DEFAULT, Hot, Limits, hot_keys, read_once, together
 from tillroll.operators.lineage import written
 from tillroll.operators.percentiles import percentiles_by
 from tillroll.operators.scaling import winsorized
@@ -100,40 +100,44 @@ def with_whole_clients(
     Clients of ordinary size come together in one exchange of the plain rows.
     Distinct counts have an aggregation of their own, over columns the other one
     does not carry. Clients too large for one task spread: distinct values are
-    reduced before they meet, medians are counted.
+    reduced before they meet, medians are counted. Without ``hot``, the rows are
+    written once before the search for such clients.
     """
 
     def ordinary(rows: DataFrame) -> DataFrame:
-        together = rows.repartition("client_id")
+        dealt = together(rows, "client_id", hot.rows)
         plain = {**aggregates, **(median_aggregates() if medians else {})}
         if not distinct:
-            return by_client(together, plain)
-        counts = by_client(together, nunique_in_one_task())
-        return by_client(together, plain).join(counts, "client_id") if plain else counts
+            return by_client(dealt, plain)
+        counts = by_client(dealt, nunique_in_one_task())
+        return by_client(dealt, plain).join(counts, "client_id") if plain else counts
 
     def oversized(rows: DataFrame) -> DataFrame:
         out = by_client(rows, aggregates) if aggregates else None
         if distinct:
             counts = rollup.distinct_counts(rows, ["client_id"], NUNIQUE)
             out = counts if out is None else out.join(counts, "client_id")
-        for c in SIDES if medians else ():
-            found = percentiles_by(rows, F.col(c), [0.5], ["client_id"], limits=limits)
-            median = F.col("percentiles")[0].alias(f"{c}_client_median")
-            out = out.join(found.select("client_id", median), "client_id", "left")
+        if medians:
+            cells = rows.select("client_id", F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("value")) for c in SIDES])).alias("cell"))
+            found = percentiles_by(cells.select("client_id", "cell.*"), F.col("value"), [0.5], ["client_id", "side"], limits=limits)
+            each = [F.max(F.when(F.col("side") == c, F.col("percentiles")[0])).alias(f"{c}_client_median") for c in SIDES]
+            out = out.join(found.groupBy("client_id").agg(*each), "client_id", "left")
         return out
 
-    hot = hot or hot_keys(df, ["client_id"], limits)
+    if hot is None:
+        df = read_once(df, limits)
+        hot = hot_keys(df, ["client_id"], limits)
     return hot.apply(df, ordinary, oversized)
 
 
 def money_profile(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """mean, median, std, count, sum of income and spend per client."""
-    return with_whole_clients(df, money_aggregates(), medians=True, limits=limits)
+    return with_whole_clients(df.select("client_id", *SIDES), money_aggregates(), medians=True, limits=limits)
 
 
 def distinct_counts(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Distinct terminals, transaction types and codes per client; NULL is not counted."""
-    return with_whole_clients(df, {}, distinct=True, limits=limits)
+    return with_whole_clients(df.select("client_id", *NUNIQUE), {}, distinct=True, limits=limits)
 
 
 def weekday_counts(df: DataFrame) -> DataFrame:
@@ -189,10 +193,13 @@ def joined_back(df: DataFrame, features: DataFrame, hot: Hot | None = None, limi
     """Client features on every transaction of the client.
 
     Hot clients are few, so their features are broadcast; the others meet in a
-    join in which no client exceeds the row limit.
+    join in which no client exceeds the row limit. Without ``hot``, the rows
+    are written once before the search for such clients.
     """
     features = features.drop("n_rows")
-    hot = hot or hot_keys(df, ["client_id"], limits)
+    if hot is None:
+        df = read_once(df, limits)
+        hot = hot_keys(df, ["client_id"], limits)
     return hot.apply(
         df,
         lambda rows: rows.join(features if hot.keys is None else hot.split(features)[0], "client_id"),

@@ -13,7 +13,7 @@ from tillroll.functions.mcc import mcc_group
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients, cohort, habits, profile, sampling
 from tillroll.operators.encoding import ordered_target_encoding, permutation_place
-from tillroll.operators.hotkeys import Limits
+from tillroll.operators.hotkeys import Limits, hot_keys, read_once
 from tillroll.operators.joins import day_time, labelled, of_clients
 from tillroll.operators.lineage import new_path, written
 from tillroll.operators.ranks import auc_of
@@ -159,16 +159,18 @@ def client_delta(spark: SparkSession, sf_dir: str, limits: Bound = limits) -> Da
 
 
 def client_features_joined(spark: SparkSession, sf_dir: str, limits: Bound = limits) -> DataFrame:
-    rows = signed(spark, sf_dir)
-    further = {**clients.weekday_means(), "all_time_freq": clients.days_per_transaction()}
     bound = limits(spark, sf_dir)
-    table = clients.client_features(rows, further, winsorize_difference=False, limits=bound)
+    base = read_once(train(spark, sf_dir).drop("trans_city"), bound)
+    hot = hot_keys(base, ["client_id"], bound)
+    rows = with_signed_amounts(with_time_parts(base))
+    further = {**clients.weekday_means(), "all_time_freq": clients.days_per_transaction()}
+    table = clients.client_features(rows, further, winsorize_difference=False, hot=hot, limits=bound)
     kept = rows.select("client_id", "gender", "trans_time", "amount")
-    return four_digits(clients.joined_back(kept, table, limits=bound))
+    return four_digits(clients.joined_back(kept, table, hot, bound))
 
 
 def mcc_code_count(spark: SparkSession, sf_dir: str, limits: Bound = limits) -> DataFrame:
-    return habits.with_code_count(train(spark, sf_dir), limits(spark, sf_dir)).select("client_id", "mcc_code", "amount", "mcc_code_count")
+    return habits.with_code_count(train(spark, sf_dir).select("client_id", "mcc_code", "amount"), limits(spark, sf_dir))
 
 
 KEYS = ["client_id", "trans_time", "amount"]
