@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.timeparts import date_of
-from tillroll.operators.hotkeys import DEFAULT, Limits, lookup_table
+from tillroll.operators.hotkeys import DEFAULT, Limits, lookup_table, read_once
 from tillroll.operators.percentiles import percentiles_by
 
 HOURS = range(24)
@@ -177,6 +177,7 @@ def described(df: DataFrame, value: str, by: Sequence[str] = (), limits: Limits
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     ]
+    df = read_once(df.select(*by, value), limits)
     found = percentiles_by(df, F.col(value), QUARTILES, by, limits=limits)
     if by:
         df = df.dropna(subset=list(by))
@@ -206,6 +207,7 @@ def automatic_bins(df: DataFrame, column: str = "MCC", limits: Limits = DEFAULT)
     less than half the range over the root of the size, so that bins stay few where the quartiles are close), and the range over the
     binary logarithm of the size plus one, which fits small ones. It is the rule of numpy's ``auto``.
     """
+    df = df.select(column)
     value = F.col(column).cast("double")
     ends = df.agg(F.count(column).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
     quartiles = percentiles_by(df, value, [0.25, 0.75], limits=limits)
@@ -224,9 +226,10 @@ def automatic_histogram(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 
     Bins are small numbers, so the counts combine on the map side whatever the codes.
     """
-    rows = df.dropna(subset=["gender", "MCC"])
+    rows = read_once(df.select("gender", "MCC").dropna(), limits)
     plan = automatic_bins(rows, "MCC", limits)
-    low, high, bins = (plan.select(c).scalar() for c in ("low", "high", "bins"))
+    bounds = plan.select(F.struct("low", "high", "bins")).scalar()
+    low, high, bins = (bounds[c] for c in ("low", "high", "bins"))
     place = F.floor((F.col("MCC").cast("double") - low) * bins / F.nullif(high - low, F.lit(0.0)))
     number = F.coalesce(F.least(place, bins - 1), F.lit(0)).cast("int")
     return rows.groupBy("gender", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
