@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 from helpers import SMALL
 
 from tillroll.llm import decontaminate as d
@@ -118,3 +119,25 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count() - 3
     assert d.leaks(no_docs, items).count() == 0
     assert d.leaks(odd_docs, items.limit(0)).count() == 0 and d.without_leaks(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_the_latent_space_comes_from_all_passages(spark):
+    """20,000 distinct passages and 100 copies of one: every one is a row of the fit, and the products are those of the whole matrix."""
+    words = [f"word{k}" for k in range(300)]
+    docs = [(f"{words[k % 150]} {words[150 + k // 150]} other", ) for k in range(20_000)] + [("word1 word2 word3", )] * 100 + [("nothing here", ), (None, )]
+    vocabulary = np.unique(np.concatenate([d.hashed_words(w) for w in words]))
+    rows = spark.createDataFrame(docs, "text string").repartition(4)
+    counts = d.passage_counts(rows, vocabulary).filter("term = -2").selectExpr("n", "terms", "sizes", "1D AS scale").cache()
+    sizes = [x for r in counts.collect() for x in r.sizes]
+    assert len(sizes) == 20_100 == sum(r.n for r in counts.collect())
+    dense = np.zeros((len(sizes), len(vocabulary)))
+    weights = np.linspace(0.5, 3, len(vocabulary))
+    k = 0
+    for r in counts.collect():
+        terms, at = np.frombuffer(bytes(r.terms), np.uint16), 0
+        for size in r.sizes:
+            dense[k, terms[at : at + size]] = weights[terms[at : at + size]]
+            k, at = k + 1, at + size
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    x = np.random.default_rng(1).standard_normal((len(vocabulary), 20))
+    assert np.allclose(d.product(counts, weights, x), dense.T @ (dense @ x), rtol=1e-4, atol=1e-2)

@@ -3,9 +3,9 @@
 Terms are words between white space and ASCII punctuation, A-Z as a-z. Only terms of the benchmark can bring a passage nearer to an
 item, so the term space is the benchmark's vocabulary, which bounds every model here by the benchmark's size, not the corpus's.
 
-1. One scan counts in how many passages (64 words) each term stands, over all documents, and draws a sample of passages.
-2. A randomised SVD (subspace iteration, its products summed by Spark) of the TF-IDF rows of the sample and of the items gives the
-   latent space. The sample has at most ``SAMPLE`` passages (the lowest hashes); the fit alone uses it.
+1. One scan counts in how many passages (64 words) each term stands, over all documents, and writes the terms of every passage, packed.
+2. A randomised SVD (subspace iteration, its products summed by Spark) of the TF-IDF rows of all passages and of the items gives the
+   latent space. Passages without a term of the benchmark are empty rows, which no product has.
 3. A second scan looks for the rarest words of the items. A leak lacks at most three tenths of an item's words, so it has one of the
    rarest of them, one more than it may lack. Windows (80 words, a new one every 32) that hold none for any item can't be leaks. The
    others are projected and compared with the items that brought them up; those within ``COSINE`` are candidates.
@@ -31,20 +31,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.hashing import MARKS, U, chunks, mix, texts, word_hashes
+from tillroll.llm.hashing import MARKS, U, chunks, texts, word_hashes
 from tillroll.operators.lineage import written
 
 PASSAGE, BLOCK, WINDOW_BLOCKS, STEP_BLOCKS = 64, 16, 5, 2
 RANK, EXTRA, ROUNDS = 256, 16, 2
-SAMPLE, TASK_SAMPLE = 8192, 512
 COSINE, OVERLAP, ANSWER = 0.5, 0.7, 0.6
 SLICE_BYTES = 8 << 20
 #: Terms of one model: its broadcast has ``RANK`` floats for each, 64 MB.
 MODEL_TERMS = 1 << 16
 #: Windows and parts of items that are compared at once.
 PAIRS = 1 << 14
-#: Tasks that share the sample in each round of the fit.
-FIT_TASKS = 8
+#: Passages that are packed into one row for the fit.
+FIT_BLOCK = 256
 
 
 @dataclass
@@ -93,18 +92,32 @@ def known(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nd
     return place, at[place]
 
 
-COUNTS_DDL = "term int, n long, hash long, terms array<int>"
-COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("hash", pa.int64()), ("terms", pa.list_(pa.int32()))])
+COUNTS_DDL = "term int, n long, terms binary, sizes binary"
+COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("terms", pa.binary()), ("sizes", pa.binary())])
+
+
+def term_type(size: int) -> type:
+    """Two bytes hold a term, unless one part's answer alone brings more than ``MODEL_TERMS``."""
+    return np.uint16 if size <= MODEL_TERMS else np.uint32
+
+
+def packed(terms: np.ndarray, sizes: np.ndarray, size: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(passages, their terms one after the other, their numbers of terms) of ``FIT_BLOCK`` passages each, which have 64 terms at most;
+    ``size`` is that of the vocabulary."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), FIT_BLOCK):
+        own = sizes[a : a + FIT_BLOCK]
+        yield len(own), terms[ends[a] : ends[a + len(own)]].astype(term_type(size)).tobytes(), own.astype(np.uint8).tobytes()
 
 
 def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """Rows of a term and its passages, of the number of passages (term -1), and of sampled passages (term -2)."""
+    """Rows of a term and its passages, of the number of passages (term -1), and of the terms of all passages that have one (term -2)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         size = len(vocabulary)
-        total, passages, sample = np.zeros(size, np.int64), 0, {}
+        total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
             for _, _, data, offsets in chunks(*texts(batch.column("text"))):
                 hashes, place = word_hashes(data, offsets, MARKS)
@@ -119,37 +132,40 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 total += np.bincount(pairs % size, minlength=size)
                 owner = pairs // size
                 starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
-                content = mix(np.add.reduceat(mix(vocabulary[pairs % size]), starts)) >> U(1) if len(owner) else np.zeros(0, U)
-                # the lowest hashes, equal passages once
-                low = np.unique(content, return_index=True)[1][:TASK_SAMPLE]
-                ends = np.append(starts[1:], len(pairs))
-                sample |= {int(content[i]): (pairs[starts[i] : ends[i]] % size).tolist() for i in low}
-                sample = dict(sorted(sample.items())[:TASK_SAMPLE])
+                if len(starts):
+                    yield batch_of([(-2, *block) for block in packed(pairs % size, np.diff(np.append(starts, len(pairs))), size)])
         some = np.flatnonzero(total)
-        rows = [(int(t), int(total[t]), None, None) for t in some] + [(-1, passages, None, None)]
-        rows += [(-2, None, h, terms) for h, terms in sample.items()]
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
+        yield batch_of([(int(t), int(total[t]), None, None) for t in some] + [(-1, passages, None, None)])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
     return docs.select("text").mapInArrow(count, COUNTS_DDL)
 
 
 def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray) -> np.ndarray:
-    """M' M X for the TF-IDF rows M; tasks sum their share, Spark the shares, and the driver gets one matrix of X's size."""
-    shared = rows.sparkSession.sparkContext.broadcast((weights, against))
+    """M' M X for the TF-IDF rows M, packed; tasks sum their share, Spark the shares, and the driver gets one matrix of X's size.
+
+    A passage is added up in single precision, passages in double.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((weights, against.astype(np.float32)))
     block = 256
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, x = shared.value
-        out, any_row = np.zeros_like(x), False
+        out, any_row = np.zeros(x.shape), False
         for batch in batches:
-            for terms, scale in zip(batch.column("terms").to_pylist(), batch.column("scale").to_pylist(), strict=True):
-                t = np.array(terms)
+            for terms, sizes, scale in zip(*(batch.column(c).to_pylist() for c in ("terms", "sizes", "scale")), strict=True):
+                t, size = np.frombuffer(terms, term_type(len(x))), np.frombuffer(sizes, np.uint8).astype(np.int64)
+                start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
                 w = weights[t]
-                norm = np.sqrt((w * w).sum())
-                if norm:
-                    w = w / norm * scale
-                    np.add.at(out, t, w[:, None] * (w @ x[t]))
-                    any_row = True
+                norm = np.sqrt(np.add.reduceat(w * w, start))
+                w = (w / np.where(norm > 0, norm, 1.0)[owner] * scale).astype(np.float32)
+                projected = np.add.reduceat(w[:, None] * x[t], start, axis=0)
+                order = np.argsort(t, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
+                out[t[order][first]] += np.add.reduceat(w[order][:, None] * projected[owner[order]], first, axis=0)
+                any_row = True
         if any_row:
             starts = range(0, len(x), block)
             yield pa.record_batch([pa.array([i // block for i in starts], pa.int32()),
@@ -308,19 +324,20 @@ def fitted(docs: DataFrame, items: list[Item]) -> Model | None:
     spark = docs.sparkSession
     vocabulary = np.unique(np.array([w for x in items for w in x.words + x.answer], U))
     counts = written(passage_counts(docs, vocabulary))
-    totals = {r["term"]: r["n"] for r in counts.filter("term >= -1").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = totals.pop(-1, 0) or 0
+    totals = {r["term"]: r["n"] for r in counts.select("term", "n").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, filled = totals.pop(-1, 0) or 0, totals.pop(-2, 0) or 0
     if not n:
         return None
     df = np.zeros(len(vocabulary))
     df[list(totals)] = list(totals.values())
     number = {int(h): i for i, h in enumerate(vocabulary)}
     weights = np.log((n + 1) / (df + 1))
-    sample = counts.filter("term = -2").dropDuplicates(["hash"]).orderBy("hash").limit(SAMPLE).select("terms", F.lit(1.0).alias("scale"))
-    scale = float(np.sqrt(max(1.0, SAMPLE / max(1, len(items)))))
-    own = spark.createDataFrame([([number[w] for w in x.words], scale) for x in items], "terms array<int>, scale double")
-    rows = written(sample.unionByName(own).repartition(FIT_TASKS))
-    basis = latent_basis(rows, weights)
+    passages = counts.filter("term = -2").select("terms", "sizes", F.lit(1.0).alias("scale"))
+    # all items weigh as much as all passages
+    scale = float(np.sqrt(max(1.0, filled / max(1, len(items)))))
+    blocks = packed(np.array([number[w] for x in items for w in x.words]), np.array([len(x.words) for x in items]), len(vocabulary))
+    own = spark.createDataFrame([(bytearray(t), bytearray(s), scale) for _, t, s in blocks], "terms binary, sizes binary, scale double")
+    basis = latent_basis(passages.unionByName(own), weights)
     latent = (weights[:, None] * basis).astype(np.float32)
     queries = np.stack([latent[[number[w] for w in x.words]].sum(axis=0) for x in items])
     queries /= np.maximum(np.sqrt((queries * queries).sum(axis=1)), 1e-9)[:, None]
