@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators.ranks import auc_of, rank_auc, score_counts
+from tillroll.operators.ranks import auc_of, rank_auc, score_counts, with_stretch
 
 
 def by_hand(rows):
@@ -53,3 +53,9 @@ def test_missing_and_empty(spark):
     assert auc_of(df, "s", "y").first().asDict() == {"n": 2, "n_positive": 1, "auc": 1.0}
     assert auc_of(df.limit(0), "s", "y").first().asDict() == {"n": 0, "n_positive": 0, "auc": None}
     assert auc_of(df.limit(0).withColumn("g", F.lit(1)), "s", "y", ["g"]).collect() == []
+
+
+def test_no_task_is_sent_the_plan_of_a_subquery(spark):
+    counts = spark.range(50).selectExpr("id / 7D AS score", "id % 2 AS positive", "1 - id % 2 AS negative")
+    assert "ubquery" not in with_stretch(counts, [])._jdf.queryExecution().executedPlan().toString()
+    assert rank_auc(counts.limit(0)).collect() == [(0, 0, None)]
