@@ -92,3 +92,41 @@ def test_patience_cuts_a_planted_overfit(spark):
     assert stop.waited and stop.at - stop.best == 4 and len(model.treeWeights) == stop.best < 20
     curve = {r["iteration"]: r["loss"] for r in boosting.validation_curve(model, data.filter("held"), "y").collect()}
     assert curve[stop.best] == pytest.approx(min(curve.values())) == pytest.approx(stop.value)
+
+
+def test_curve_in_many_stretches(data, fitted):
+    """The borders only part the work: a row for each prefix and stretch, and the same curve."""
+    unseen = data.filter("held")
+    parts = boosting.staged_parts(fitted, unseen, "y", stretch_rows=100).collect()
+    assert 3 < max(p["stretch"] for p in parts) <= 8 and len(parts) <= 12 * 9
+    plan = boosting.staged_parts(fitted, unseen, "y", stretch_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    one, many = ({r["iteration"]: r for r in boosting.validation_curve(fitted, unseen, "y", stretch_rows=n).collect()} for n in (10**6, 100))
+    assert len(one) == len(many) == 12
+    for k, r in one.items():
+        assert (many[k]["n"], many[k]["auc"]) == (r["n"], r["auc"]) and many[k]["loss"] == pytest.approx(r["loss"])
+    later = boosting.validation_curve(fitted, unseen, "y", after=9).collect()
+    assert {(r["iteration"], r["auc"]) for r in later} == {(k, one[k]["auc"]) for k in (10, 11, 12)}
+
+
+def test_curve_without_rows_or_one_class(data, fitted):
+    assert boosting.validation_curve(fitted, data.limit(0), "y").count() == 0
+    rows = boosting.validation_curve(fitted, data.filter("y = 1"), "y").collect()
+    assert len(rows) == 12 and {r["auc"] for r in rows} == {None}
+
+
+def test_one_fit_where_patience_cannot_end_before_it(data, monkeypatch):
+    monkeypatch.setattr(boosting, "resumed", None)
+    model, stop = boosting.fit_with_patience(data, "y", "held", 6, 0.3, 2, 5, patience=4)
+    assert stop.at in (5, 6) and len(model.treeWeights) == stop.best
+
+
+def test_resuming_keeps_no_copies(spark, data, fitted, monkeypatch):
+    from tillroll.operators import lineage
+
+    monkeypatch.setattr(boosting, "REWRITE_EVERY", 2)
+    before = list(lineage._handed_out)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    again = boosting.resumed(boosting.prefix(fitted, 5), data.filter("NOT held"), "y", 5, 0.3, 3, 5)
+    assert lineage._handed_out == before and len(again.treeWeights) == 10
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= cached
