@@ -141,3 +141,13 @@ def test_the_latent_space_comes_from_all_passages(spark):
     dense /= np.linalg.norm(dense, axis=1)[:, None]
     x = np.random.default_rng(1).standard_normal((len(vocabulary), 20))
     assert np.allclose(d.product(counts, weights, x), dense.T @ (dense @ x), rtol=1e-4, atol=1e-2)
+
+
+def test_rows_become_a_matrix_over_their_terms(rng):
+    owner = np.sort(np.array([rng.randint(0, 9) for _ in range(200)]))
+    term = np.array([rng.choice([3, 5, 8, 900, 60_000]) for _ in range(200)], np.uint16)
+    weight = np.array([rng.random() for _ in range(200)])
+    terms, matrix = d.dense(owner, term, weight, 10)
+    want = np.zeros((10, 60_001))
+    np.add.at(want, (owner, term), weight)
+    assert terms.tolist() == [3, 5, 8, 900, 60_000] and np.allclose(matrix, want[:, terms]) and not np.delete(want, terms, axis=1).any()

@@ -44,6 +44,8 @@ MODEL_TERMS = 1 << 16
 PAIRS = 1 << 14
 #: Passages that are packed into one row for the fit.
 FIT_BLOCK = 256
+#: Rows of few terms that are multiplied at once, as a matrix over the terms they have.
+DENSE_ROWS = 64
 
 
 @dataclass
@@ -92,6 +94,13 @@ def known(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nd
     return place, at[place]
 
 
+def dense(owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of some rows, and the rows as a matrix over these; a term that a row has again adds to its cell."""
+    terms, column = np.unique(term, return_inverse=True)
+    cells = np.bincount(owner * len(terms) + column, weight, rows * len(terms))
+    return terms, cells.reshape(rows, len(terms)).astype(np.float32)
+
+
 COUNTS_DDL = "term int, n long, terms binary, sizes binary"
 COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("terms", pa.binary()), ("sizes", pa.binary())])
 
@@ -146,7 +155,7 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray) -> np.ndarray:
     """M' M X for the TF-IDF rows M, packed; tasks sum their share, Spark the shares, and the driver gets one matrix of X's size.
 
-    A passage is added up in single precision, passages in double.
+    ``DENSE_ROWS`` passages are multiplied in single precision, their products added in double.
     """
     shared = rows.sparkSession.sparkContext.broadcast((weights, against.astype(np.float32)))
     block = 256
@@ -156,15 +165,16 @@ def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray) -> np.nda
         out, any_row = np.zeros(x.shape), False
         for batch in batches:
             for terms, sizes, scale in zip(*(batch.column(c).to_pylist() for c in ("terms", "sizes", "scale")), strict=True):
-                t, size = np.frombuffer(terms, term_type(len(x))), np.frombuffer(sizes, np.uint8).astype(np.int64)
-                start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-                w = weights[t]
-                norm = np.sqrt(np.add.reduceat(w * w, start))
-                w = (w / np.where(norm > 0, norm, 1.0)[owner] * scale).astype(np.float32)
-                projected = np.add.reduceat(w[:, None] * x[t], start, axis=0)
-                order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
-                out[t[order][first]] += np.add.reduceat(w[order][:, None] * projected[owner[order]], first, axis=0)
+                term, size = np.frombuffer(terms, term_type(len(x))), np.frombuffer(sizes, np.uint8).astype(np.int64)
+                ends, owner = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(size)), size)
+                w = weights[term]
+                norm = np.sqrt(np.add.reduceat(w * w, ends[:-1]))
+                w = w / np.where(norm > 0, norm, 1.0)[owner] * scale
+                for a in range(0, len(size), DENSE_ROWS):
+                    n = min(DENSE_ROWS, len(size) - a)
+                    own = slice(ends[a], ends[a + n])
+                    t, m = dense(owner[own] - a, term[own], w[own], n)
+                    out[t] += m.T @ (m @ x[t])
                 any_row = True
         if any_row:
             starts = range(0, len(x), block)
@@ -262,9 +272,11 @@ class Model:
             distinct, row = np.unique(rows, return_inverse=True)
             low, high = np.searchsorted(blocks, [distinct[0], distinct[-1] + WINDOW_BLOCKS])
             sums = np.zeros((high - low, self.latent.shape[1]), np.float32)
-            for b in range(low, high, 2048):
-                own = starts[b : min(b + 2048, high)]
-                sums[b - low : b - low + len(own)] = np.add.reduceat(self.latent[term[own[0] : ends[b + len(own) - 1]]], own - own[0], axis=0)
+            for b in range(low, high, DENSE_ROWS):
+                n = min(DENSE_ROWS, high - b)
+                own = slice(starts[b], ends[b + n - 1])
+                t, m = dense(np.repeat(np.arange(n), ends[b : b + n] - starts[b : b + n]), term[own], None, n)
+                sums[b - low : b - low + n] = m @ self.latent[t]
             total = np.zeros((len(distinct), sums.shape[1]), np.float32)
             for k in range(WINDOW_BLOCKS if high > low else 0):
                 i = np.minimum(np.searchsorted(blocks[low:high], distinct + k), high - low - 1)
