@@ -46,6 +46,8 @@ PAIRS = 1 << 14
 FIT_BLOCK = 256
 #: Rows of few terms that are multiplied at once, as a matrix over the terms they have.
 DENSE_ROWS = 64
+#: Packed rows whose products are added up in single precision.
+SINGLE_BLOCKS = 64
 
 
 @dataclass
@@ -137,12 +139,13 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 at, term = known(hashes, vocabulary)
                 doc = np.searchsorted(place, at, "right") - 1
                 passage = first[doc] + (at - place[doc]) // PASSAGE
-                pairs = np.unique(passage * size + term)
-                total += np.bincount(pairs % size, minlength=size)
-                owner = pairs // size
+                pairs = np.sort(passage * size + term)  # nearly in order already
+                pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+                owner, term = np.divmod(pairs, size)
+                total += np.bincount(term, minlength=size)
                 starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
                 if len(starts):
-                    yield batch_of([(-2, *block) for block in packed(pairs % size, np.diff(np.append(starts, len(pairs))), size)])
+                    yield batch_of([(-2, *block) for block in packed(term, np.diff(np.append(starts, len(pairs))), size)])
         some = np.flatnonzero(total)
         yield batch_of([(int(t), int(total[t]), None, None) for t in some] + [(-1, passages, None, None)])
 
@@ -155,14 +158,14 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray) -> np.ndarray:
     """M' M X for the TF-IDF rows M, packed; tasks sum their share, Spark the shares, and the driver gets one matrix of X's size.
 
-    ``DENSE_ROWS`` passages are multiplied in single precision, their products added in double.
+    ``DENSE_ROWS`` passages are multiplied at once; single precision holds the sums of ``SINGLE_BLOCKS`` packed rows, double those of all.
     """
     shared = rows.sparkSession.sparkContext.broadcast((weights, against.astype(np.float32)))
     block = 256
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, x = shared.value
-        out, any_row = np.zeros(x.shape), False
+        out, part, blocks = np.zeros(x.shape), np.zeros(x.shape, np.float32), 0
         for batch in batches:
             for terms, sizes, scale in zip(*(batch.column(c).to_pylist() for c in ("terms", "sizes", "scale")), strict=True):
                 term, size = np.frombuffer(terms, term_type(len(x))), np.frombuffer(sizes, np.uint8).astype(np.int64)
@@ -174,9 +177,13 @@ def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray) -> np.nda
                     n = min(DENSE_ROWS, len(size) - a)
                     own = slice(ends[a], ends[a + n])
                     t, m = dense(owner[own] - a, term[own], w[own], n)
-                    out[t] += m.T @ (m @ x[t])
-                any_row = True
-        if any_row:
+                    part[t] += m.T @ (m @ x[t])
+                blocks += 1
+                if blocks % SINGLE_BLOCKS == 0:
+                    out += part
+                    part[:] = 0
+        if blocks:
+            out += part
             starts = range(0, len(x), block)
             yield pa.record_batch([pa.array([i // block for i in starts], pa.int32()),
                                    pa.array([out[i : i + block].tobytes() for i in starts], pa.binary())], ["block", "part"])
