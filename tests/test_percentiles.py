@@ -146,3 +146,14 @@ def test_values_are_read_once_where_large_groups_are_looked_for(spark):
     assert seen.value == 6_000
     want = as_lists(P.percentiles_by(rows, F.col("value"), PROBABILITIES, ["g"]))
     assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got
+
+
+def test_many_large_groups_of_few_values_need_no_passes(spark, monkeypatch):
+    """What the sketch leaves of such groups fits into a task each; passes would grow in number with the groups."""
+    rows = spark.range(0, 4_000, 1, 4).select((F.col("id") % 40).alias("g"), (F.hash("id") / 7.0).alias("value"))
+    want = as_lists(P.percentiles_by(rows, F.col("value"), PROBABILITIES, ["g"]))
+    narrowed = []
+    real = P._narrow
+    monkeypatch.setattr(P, "_narrow", lambda rows, *rest: narrowed.append(rows.columns) or real(rows, *rest))
+    got = as_lists(P.percentiles_by(rows, F.col("value"), PROBABILITIES, ["g"], limits=Limits(group_rows=60)))
+    assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got and not narrowed

@@ -50,8 +50,22 @@ def four_digits(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     Values that are too large for nine digits have no fourth one to round.
     """
     names = [n for n, t in df.dtypes if t == "double"] if columns is None else columns
-    rounded = {n: F.round(F.col(f"`{n}`").try_cast("decimal(28,9)"), 4).cast("double") for n in names}
-    return df.withColumns({n: F.coalesce(value, F.col(f"`{n}`")) for n, value in rounded.items()})
+    if not names:
+        return df
+    place = "_rounded"
+    while place in df.columns:
+        place += "_"
+    # One expression over an array: written out for each of many columns, the code is too long for the JVM to compile.
+    every = F.transform(F.array(*[F.col(f"`{n}`") for n in names]), _rounded)
+    return df.withColumn(place, every).withColumns({n: F.get(place, F.lit(i)) for i, n in enumerate(names)}).drop(place)
+
+
+def _rounded(value: Column) -> Column:
+    """Where a value is clearly nearer to one number of four digits than to the next, that number follows without decimals."""
+    near = F.floor(value * 10_000 + 0.5)
+    clear = (F.abs(value) < 1e8) & (F.abs(value * 10_000 - near) < 0.499)
+    exact = F.coalesce(F.round(value.try_cast("decimal(28,9)"), 4).cast("double"), value)
+    return F.when(clear, near / 10_000).otherwise(exact)
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
