@@ -10,7 +10,8 @@ from tillroll.functions.mcc import mcc_group
 from tillroll.functions.timeparts import with_time_parts
 from tillroll.operators import clients
 from tillroll.operators.habits import all_stats, finished
-from tillroll.operators.hotkeys import DEFAULT, GroupStats, Hot, Limits, hot_keys, read_once, with_lookups, with_windows
+from tillroll.operators.hotkeys import DEFAULT, GroupStats, Hot, Limits, hot_keys, with_lookups, with_windows
+from tillroll.operators.lineage import written
 from tillroll.operators.scaling import winsorized
 
 HELPERS = ["amount_up", "amount_down", "weekday", "trans_time", "trans_ts", "day_mod7", "n_rows"]
@@ -37,7 +38,7 @@ def scoring_features(df: DataFrame, winsorize: bool = True, limits: Limits = DEF
     ``winsorize`` cuts the amounts behind the client profile and the income
     minus spend difference at the 5 % and 95 % percentile of the given rows.
     """
-    df = read_once(df, limits)
+    df = df if limits.none_hot() else written(df)
     hot = hot_keys(df, ["client_id"], limits)
     rows = with_time_parts(df)
     signed = with_signed_amounts(rows)
@@ -56,7 +57,7 @@ def scoring_features(df: DataFrame, winsorize: bool = True, limits: Limits = DEF
 
 def training_features(df: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Features of the validated training: raw amounts, weekday columns, transactions per day."""
-    df = read_once(df, limits)
+    df = df if limits.none_hot() else written(df)
     hot = hot_keys(df, ["client_id"], limits)
     rows = with_time_parts(df)
     signed = clients.with_weekday(with_signed_amounts(rows), "second")
