@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+#: For steps that hold some ten numbers of 64 bits for each byte of a chunk.
+SMALL_CHUNK_BYTES = 1 << 19
 U = np.uint64
 
 SPACE = np.zeros(256, bool)

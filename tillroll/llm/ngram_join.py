@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components
-from tillroll.llm.hashing import U, chunks, shingle_sets, texts, word_hashes
+from tillroll.llm.hashing import SMALL_CHUNK_BYTES, U, chunks, shingle_sets, texts, word_hashes
+from tillroll.llm.workers import lean, lean_cogroup, lean_group
 from tillroll.operators.lineage import written
 
 PERCENT = 80
@@ -48,6 +49,7 @@ def groups_for(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+@lean
 def local_copies_dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()
     for batch in batches:
@@ -74,7 +76,7 @@ def distinct_rows(table: pa.Table) -> pa.Table:
 
 def sets_of(table: pa.Table) -> Iterator[np.ndarray]:
     for batch in table.combine_chunks().to_batches():
-        for _, _, data, offsets in chunks(*texts(batch.column("text"))):
+        for _, _, data, offsets in chunks(*texts(batch.column("text")), SMALL_CHUNK_BYTES):
             yield from shingle_sets(*word_hashes(data, offsets))
 
 
@@ -103,6 +105,7 @@ def bucketed(s: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.T
     return pa.table(rows, schema=PARTS)
 
 
+@lean_group
 def shared_keys(table: pa.Table) -> pa.Table:
     """For each group the keys that count twice or more over all groups, with their counts."""
     owners = table.column("s").to_pylist()
@@ -155,6 +158,7 @@ SETS_DDL = "h1 long, h2 long, n long, own long, keys binary"
 def described_sets(texts_of_group: DataFrame, parts: DataFrame) -> DataFrame:
     """For each text: size of its set, how many shingles are its own, and if a partner is possible the shared ones in order."""
 
+    @lean_cogroup
     def describe(table: pa.Table, answer: pa.Table) -> pa.Table:
         rows = {"h1": [], "h2": [], "n": [], "own": [], "keys": []}
         if table.num_rows:
@@ -177,6 +181,7 @@ def described_sets(texts_of_group: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def counted_shingles(texts_of_group: DataFrame, buckets: int) -> DataFrame:
+    @lean_group
     def count(table: pa.Table) -> pa.Table:
         s = table.column("s")[0].as_py()
         every = np.concatenate([np.unique(x & HASH_MASK) for x in sets_of(distinct_rows(table))])
@@ -240,6 +245,7 @@ def may_overlap(x: np.ndarray, y: np.ndarray, missing: int, depth: int = 2) -> b
     return differ(x, y, depth) <= missing
 
 
+@lean
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []

@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.hashing import chunks, texts
+from tillroll.llm.hashing import SMALL_CHUNK_BYTES, chunks, texts
 from tillroll.llm.tokenize import Encoder
+from tillroll.llm.workers import lean
 from tillroll.operators.lineage import written
 
 CAPACITY = 1024
@@ -49,12 +50,13 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
     """Pieces of every document; ``ids`` holds little-endian 32-bit ids, or null where only their checksum is wanted."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, last, data, offsets in chunks(*texts(batch.column("text"))):
+            for first, last, data, offsets in chunks(*texts(batch.column("text")), SMALL_CHUNK_BYTES):
                 ids, before = encode(data.tobytes(), offsets)
                 rows = {name: [] for name in SCHEMA.names}
                 for i in range(last - first):

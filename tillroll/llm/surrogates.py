@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.workers import lean
+
 KEY = b"replace this key in production"
 
 _TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Doña"]
@@ -203,6 +205,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text") -> Data
     place = kept.columns.index(text)
     schema = T.StructType([*kept.schema.fields]).add("entities", T._parse_datatype_string(ENTITY)).add("n_entities", "long")
 
+    @lean
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, entities = [], []
