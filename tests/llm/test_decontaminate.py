@@ -151,3 +151,66 @@ def test_rows_become_a_matrix_over_their_terms(rng):
     want = np.zeros((10, 60_001))
     np.add.at(want, (owner, term), weight)
     assert terms.tolist() == [3, 5, 8, 900, 60_000] and np.allclose(matrix, want[:, terms]) and not np.delete(want, terms, axis=1).any()
+
+
+def test_words_are_looked_up_in_a_vocabulary(rng):
+    """Terms that crowd in one slot or at the end of all numbers, and words beside them."""
+    for size in (1, 2, 7, 500):
+        near = [rng.getrandbits(64) for _ in range(size)] + [2**64 - 1 - k for k in range(size % 5)] + [12345 + k for k in range(size % 7)]
+        vocabulary = np.unique(np.array(near, np.uint64))
+        words = np.array([rng.choice(near) if rng.random() < 0.5 else rng.choice([rng.getrandbits(64), 2**64 - 9, 12344, 0]) for _ in range(2000)], np.uint64)
+        place, term = d.Lookup(vocabulary).known(words)
+        number = {int(h): i for i, h in enumerate(vocabulary)}
+        want = [(k, number[int(w)]) for k, w in enumerate(words) if int(w) in number]
+        assert list(zip(place.tolist(), term.tolist(), strict=True)) == want
+    assert [len(x) for x in d.Lookup(vocabulary).known(np.zeros(0, np.uint64))] == [0, 0]
+
+
+def test_products_are_put_together_from_columns_and_the_rest(spark, rng, monkeypatch):
+    """The frequent terms' columns are added up once; a scan of the rest alone makes each product whole, with terms that a row has again."""
+    size, passages = 400, [sorted(min(int(rng.expovariate(0.02)), 399) for _ in range(rng.randint(1, 60))) for _ in range(5000)]
+    weights = np.log(5001 / (1 + np.bincount([t for p in passages for t in set(p)], minlength=size)))
+    blocks = d.packed(np.array([t for p in passages for t in p]), np.array([len(p) for p in passages]), size)
+    rows = spark.createDataFrame([(bytearray(t), bytearray(n), 1.0) for _, t, n in blocks], "terms binary, sizes binary, scale double").repartition(3)
+    dense = np.zeros((len(passages), size))
+    for k, p in enumerate(passages):
+        for t in p:
+            dense[k, t] += weights[t] / np.linalg.norm(weights[p])
+    gram = dense.T @ dense
+    monkeypatch.setattr(d, "COLUMN_PAIRS", 1000)
+    head = np.argsort(weights, kind="stable")[:50]
+    assert np.allclose(d.columns(rows, weights, head), gram[:, head], rtol=1e-5, atol=1e-5)
+    tail = np.setdiff1d(np.arange(size), head)
+    x = np.random.default_rng(1).standard_normal((size, 20))
+    want = np.zeros((size, 20))
+    want[tail] = gram[np.ix_(tail, tail)] @ x[tail]
+    assert np.allclose(d.product(rows, weights, x, head), want, rtol=1e-4, atol=1e-3)
+    # The frequent terms take no part in the scans of the iteration, and the space is that of the whole matrix.
+    monkeypatch.setattr(d, "HEAD_CELLS", 0)
+    seen, whole = [], d.product
+
+    def product(rows, weights, x, left_out=None):
+        seen.append(left_out)
+        return whole(rows, weights, x, left_out)
+
+    monkeypatch.setattr(d, "product", product)
+    basis = d.latent_basis(rows, weights, 32)
+    assert len(seen) == d.ROUNDS + 1 and all(sorted(s) == sorted(np.argsort(weights, kind="stable")[:32]) for s in seen)
+    start = np.linalg.qr(np.random.default_rng(5).standard_normal((size, 32 + d.EXTRA)))[0]
+    for _ in range(d.ROUNDS):
+        start = np.linalg.qr(gram @ start)[0]
+    value, vector = np.linalg.eigh(start.T @ gram @ start)
+    exact = start @ vector[:, np.argsort(-value)[:32]]
+    assert np.allclose(np.abs(np.sum(basis * exact, axis=0))[:16], 1, atol=1e-3)
+    assert abs(np.trace(basis.T @ gram @ basis) / np.trace(exact.T @ gram @ exact) - 1) < 1e-5
+
+
+def test_rows_of_any_length_are_summed(rng):
+    size = np.array([rng.randint(1, 16) for _ in range(2 * d.SUM_ROWS + 7)])
+    first = np.cumsum(size) - size
+    term = np.array([rng.randint(0, 30) for _ in range(int(size.sum()))])
+    vectors = np.random.default_rng(2).standard_normal((31, 8)).astype(np.float32)
+    found = d.row_sums(vectors, term, first, size)
+    want = [vectors[term[a : a + n]].sum(axis=0) for a, n in zip(first, size, strict=True)] + [np.zeros(8)]
+    assert np.allclose(found, want, atol=1e-4)
+    assert not d.row_sums(vectors, term, first[:0], size[:0]).any()

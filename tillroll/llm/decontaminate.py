@@ -5,7 +5,8 @@ item, so the term space is the benchmark's vocabulary, which bounds every model
 
 1. One scan counts in how many passages (64 words) each term stands, over all documents, and writes the terms of every passage, packed.
 2. A randomised SVD (subspace iteration, its products summed by Spark) of the TF-IDF rows of all passages and of the items gives the
-   latent space. Passages without a term of the benchmark are empty rows, which no product has.
+   latent space. Passages without a term of the benchmark are empty rows, which no product has. What frequent terms have with all terms
+   is the same in every product and added up once; only the rest is multiplied each time.
 3. A second scan looks for the rarest words of the items. A leak lacks at most three tenths of an item's words, so it has one of the
    rarest of them, one more than it may lack. Windows (80 words, a new one every 32) that hold none for any item can't be leaks. The
    others are projected and compared with the items that brought them up; those within ``COSINE`` are candidates.
@@ -22,8 +23,9 @@ an empty table on either side gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 from math import ceil
 
 import numpy as np
@@ -41,11 +43,19 @@ SLICE_BYTES = 8 << 20
 #: Terms of one model: its broadcast has ``RANK`` floats for each, 64 MB.
 MODEL_TERMS = 1 << 16
 #: Windows and parts of items that are compared at once.
-PAIRS = 1 << 14
+PAIRS = 1 << 12
 #: Passages that are packed into one row for the fit.
 FIT_BLOCK = 256
 #: Rows of few terms that are multiplied at once, as a matrix over the terms they have.
 DENSE_ROWS = 64
+#: Rows whose vectors are added up at once.
+SUM_ROWS = 512
+#: Cells of the columns of M' M that are added up once; ``RANK`` columns at least.
+HEAD_CELLS = 1 << 21
+#: Packed rows whose pairs of terms are sorted together, and pairs that are added up at once.
+COLUMN_BLOCKS, COLUMN_PAIRS = 16, 1 << 16
+#: Cells of a matrix that are sent and added up as one row.
+PART_CELLS = 1 << 16
 #: Packed rows whose products are added up in single precision.
 SINGLE_BLOCKS = 64
 
@@ -89,11 +99,24 @@ def models(parts: list[Item], most: int = MODEL_TERMS) -> Iterator[list[Item]]:
         yield run
 
 
-def known(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words that are in the sorted vocabulary, and their numbers there."""
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    place = np.flatnonzero(vocabulary[at] == hashes)
-    return place, at[place]
+class Lookup:
+    """Finds words in a sorted vocabulary: the leading bits of a hash tell where to look, and a few steps reach its place."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        bits = len(vocabulary).bit_length() + 3  # eight slots for a term at least
+        self.shift = U(64 - bits)
+        ends = np.cumsum(np.bincount((vocabulary >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.first = np.concatenate([[0], ends[:-1]]).astype(np.int32)
+        self.steps = int(np.diff(ends, prepend=0).max()) - 1
+        self.terms = np.append(vocabulary, np.repeat(vocabulary[-1:], self.steps + 1))  # steps may lead beyond the last term
+
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that are in the vocabulary, and their numbers there."""
+        at = self.first[hashes >> self.shift]
+        for _ in range(self.steps):
+            at += self.terms[at] < hashes
+        place = np.flatnonzero(self.terms[at] == hashes)
+        return place, at[place].astype(np.int64)
 
 
 def dense(owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +126,23 @@ def dense(owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, rows:
     return terms, cells.reshape(rows, len(terms)).astype(np.float32)
 
 
+def row_sums(vectors: np.ndarray, term: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of each row's terms (``size`` of them from ``first`` on, one at least), and a last row of zeros.
+
+    The vectors of the k-th terms are added for many rows at once, so longer rows come first.
+    """
+    out = np.zeros((len(size) + 1, vectors.shape[1]), np.float32)
+    for a in range(0, len(size), SUM_ROWS):
+        order = a + np.argsort(-size[a : a + SUM_ROWS], kind="stable")
+        at = first[order]
+        longer = len(order) - np.cumsum(np.bincount(size[order]))
+        part = vectors[term[at]]
+        for k, n in enumerate(longer[1:-1].tolist(), 1):
+            part[:n] += vectors[term[at[:n] + k]]
+        out[order] = part
+    return out
+
+
 COUNTS_DDL = "term int, n long, terms binary, sizes binary"
 COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64()), ("terms", pa.binary()), ("sizes", pa.binary())])
 
@@ -126,8 +166,8 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        size = len(vocabulary)
+        lookup = Lookup(shared.value)
+        size = len(shared.value)
         total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
             for _, _, data, offsets in chunks(*texts(batch.column("text"))):
@@ -136,7 +176,7 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 each = -(-lengths // PASSAGE)
                 first = np.concatenate([[0], np.cumsum(each)])
                 passages += int(first[-1])
-                at, term = known(hashes, vocabulary)
+                at, term = lookup.known(hashes)
                 doc = np.searchsorted(place, at, "right") - 1
                 passage = first[doc] + (at - place[doc]) // PASSAGE
                 pairs = np.sort(passage * size + term)  # nearly in order already
@@ -155,59 +195,135 @@ def passage_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(count, COUNTS_DDL)
 
 
-def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray) -> np.ndarray:
-    """M' M X for the TF-IDF rows M, packed; tasks sum their share, Spark the shares, and the driver gets one matrix of X's size.
+def unpacked(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each packed row the terms, the passage of each, their TF-IDF, and the number of passages."""
+    for batch in batches:
+        for terms, sizes, scale in zip(*(batch.column(c).to_pylist() for c in ("terms", "sizes", "scale")), strict=True):
+            term, size = np.frombuffer(terms, term_type(len(weights))), np.frombuffer(sizes, np.uint8).astype(np.int64)
+            owner, w = np.repeat(np.arange(len(size)), size), weights[term]
+            norm = np.sqrt(np.add.reduceat(w * w, np.cumsum(size) - size))
+            yield term.astype(np.int64), owner, w / np.where(norm > 0, norm, 1.0)[owner] * scale, len(size)
 
-    ``DENSE_ROWS`` passages are multiplied at once; single precision holds the sums of ``SINGLE_BLOCKS`` packed rows, double those of all.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((weights, against.astype(np.float32)))
-    block = 256
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, x = shared.value
-        out, part, blocks = np.zeros(x.shape), np.zeros(x.shape, np.float32), 0
-        for batch in batches:
-            for terms, sizes, scale in zip(*(batch.column(c).to_pylist() for c in ("terms", "sizes", "scale")), strict=True):
-                term, size = np.frombuffer(terms, term_type(len(x))), np.frombuffer(sizes, np.uint8).astype(np.int64)
-                ends, owner = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(size)), size)
-                w = weights[term]
-                norm = np.sqrt(np.add.reduceat(w * w, ends[:-1]))
-                w = w / np.where(norm > 0, norm, 1.0)[owner] * scale
-                for a in range(0, len(size), DENSE_ROWS):
-                    n = min(DENSE_ROWS, len(size) - a)
-                    own = slice(ends[a], ends[a + n])
-                    t, m = dense(owner[own] - a, term[own], w[own], n)
-                    part[t] += m.T @ (m @ x[t])
-                blocks += 1
-                if blocks % SINGLE_BLOCKS == 0:
-                    out += part
-                    part[:] = 0
-        if blocks:
-            out += part
-            starts = range(0, len(x), block)
+def summed(rows: DataFrame, share: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the tasks' matrices, each sent in single precision: Spark adds them up by some rows each, and the driver gets one matrix."""
+    block = max(1, PART_CELLS // shape[1])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = share(batches)
+        if out is not None:
+            starts = range(0, len(out), block)
             yield pa.record_batch([pa.array([i // block for i in starts], pa.int32()),
-                                   pa.array([out[i : i + block].tobytes() for i in starts], pa.binary())], ["block", "part"])
+                                   pa.array([out[i : i + block].astype(np.float32).tobytes() for i in starts], pa.binary())], ["block", "part"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in table.column("part"))
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+        total = 0.0
+        for x in table.column("part"):
+            total = total + np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+        return pa.table({"block": table.column("block")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "block int, part binary"
-    sums = rows.mapInArrow(share, schema).groupBy("block").applyInArrow(add, schema).collect()
-    out = np.zeros_like(against)
-    for r in sums:
-        found = np.frombuffer(r["part"]).reshape(-1, against.shape[1])
+    out = np.zeros(shape)
+    for r in rows.mapInArrow(parts, schema).groupBy("block").applyInArrow(add, schema).collect():
+        found = np.frombuffer(r["part"], np.float32).reshape(-1, shape[1])
         out[r["block"] * block : r["block"] * block + len(found)] = found
     return out
 
 
+def product(rows: DataFrame, weights: np.ndarray, against: np.ndarray, left_out: np.ndarray | None = None) -> np.ndarray:
+    """M' M X for the TF-IDF rows M, packed, or for these without the columns ``left_out``.
+
+    ``DENSE_ROWS`` passages are multiplied at once; single precision holds the sums of ``SINGLE_BLOCKS`` packed rows, double those of all.
+    """
+    stays = np.ones(len(weights), bool)
+    stays[[] if left_out is None else left_out] = False
+    shared = rows.sparkSession.sparkContext.broadcast((weights, against.astype(np.float32), stays))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        weights, x, stays = shared.value
+        out, part, blocks = np.zeros(x.shape), np.zeros(x.shape, np.float32), 0
+        for term, owner, w, _ in unpacked(batches, weights):
+            own = np.flatnonzero(stays[term])
+            term, w, owner = term[own], w[own], owner[own]
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            owner = np.cumsum(np.diff(owner, prepend=-1) > 0) - 1  # passages that are left
+            ends = np.append(starts, len(owner))
+            for a in range(0, len(starts), DENSE_ROWS):
+                n = min(DENSE_ROWS, len(starts) - a)
+                own = slice(ends[a], ends[a + n])
+                t, m = dense(owner[own] - a, term[own], w[own], n)
+                part[t] += m.T @ (m @ x[t])
+            blocks += 1
+            if blocks % SINGLE_BLOCKS == 0:
+                out += part
+                part[:] = 0
+        return out + part if blocks else None
+
+    return summed(rows, share, against.shape)
+
+
+def columns(rows: DataFrame, weights: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The columns ``head`` of M' M for the TF-IDF rows M, packed: each term of a passage meets each of the head's terms in it.
+
+    A term's pairs in ``COLUMN_BLOCKS`` packed rows follow each other, so that the sums are written row by row and not all over the matrix.
+    """
+    number = np.full(len(weights), -1)
+    number[head] = np.arange(len(head))
+    shared = rows.sparkSession.sparkContext.broadcast((weights, number))
+    size = len(head)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        weights, number = shared.value
+        out, some = np.zeros(len(weights) * size), False
+        for group in batched(unpacked(batches, weights), COLUMN_BLOCKS):
+            some = True
+            before = np.cumsum([0] + [passages for *_, passages in group])
+            term, w = (np.concatenate([x[k] for x in group]) for k in (0, 2))
+            owner = np.concatenate([x[1] + n for x, n in zip(group, before, strict=False)])
+            column = number[term]
+            common = np.flatnonzero(column >= 0)
+            column, v = column[common], w[common]
+            each = np.bincount(owner[common], minlength=int(before[-1]))
+            order = np.argsort(term.astype(term_type(len(weights))), kind="stable")
+            term, owner, w = term[order], owner[order], w[order]
+            times = each[owner]
+            ends = np.cumsum(times)
+            first = (np.cumsum(each) - each)[owner] - (ends - times)
+            a = 0
+            while a < len(term):
+                low = int(ends[a] - times[a])
+                b = max(a + 1, int(np.searchsorted(ends, low + COLUMN_PAIRS, "right")))
+                n = times[a:b]
+                other = np.arange(low, int(ends[b - 1])) + np.repeat(first[a:b], n)
+                np.add.at(out, np.repeat(term[a:b] * size, n) + column[other], np.repeat(w[a:b], n) * v[other])
+                a = b
+        return out.reshape(-1, size) if some else None
+
+    return summed(rows, share, (len(weights), size))
+
+
 def latent_basis(rows: DataFrame, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF rows, one column each."""
+    """Leading right singular vectors of the TF-IDF rows, one column each.
+
+    M' M is taken apart by its columns: those of the most frequent terms are added up once and serve all products; what the other terms
+    have with each other is multiplied anew for each.
+    """
+    head = np.argsort(weights, kind="stable")[: max(rank, HEAD_CELLS // len(weights))]
+    tail = np.setdiff1d(np.arange(len(weights)), head)
+    common = columns(rows, weights, head)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = common @ x[head]
+        if len(tail):
+            out[head] += common[tail].T @ x[tail]
+            out += product(rows, weights, x, head)
+        return out
+
     width = min(rank + EXTRA, len(weights))
     basis = np.linalg.qr(np.random.default_rng(5).standard_normal((len(weights), width)))[0]
     for _ in range(ROUNDS):
-        basis = np.linalg.qr(product(rows, weights, basis))[0]
-    small = basis.T @ product(rows, weights, basis)
+        basis = np.linalg.qr(times(basis))[0]
+    small = basis.T @ times(basis)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     return basis @ vector[:, np.argsort(-value)[:rank]]
 
@@ -230,7 +346,7 @@ def least_common(size: int) -> int:
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # sorted hashes of the terms
+    lookup: Lookup  # of the terms
     latent: np.ndarray  # a row for each term: weight times its latent vector
     queries: np.ndarray  # a unit row for each part of an item
     items: list[Item]
@@ -259,7 +375,7 @@ class Model:
 
     def candidates(self, hashes: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(text, first word, part of an item, cosine) of the windows that are near a part whose rare words they hold."""
-        at, term = known(hashes, self.vocabulary)
+        at, term = self.lookup.known(hashes)
         if not len(at):
             return
         doc = np.searchsorted(place, at, "right") - 1
@@ -278,17 +394,12 @@ class Model:
             rows, parts = window[a : a + PAIRS], part[a : a + PAIRS]
             distinct, row = np.unique(rows, return_inverse=True)
             low, high = np.searchsorted(blocks, [distinct[0], distinct[-1] + WINDOW_BLOCKS])
-            sums = np.zeros((high - low, self.latent.shape[1]), np.float32)
-            for b in range(low, high, DENSE_ROWS):
-                n = min(DENSE_ROWS, high - b)
-                own = slice(starts[b], ends[b + n - 1])
-                t, m = dense(np.repeat(np.arange(n), ends[b : b + n] - starts[b : b + n]), term[own], None, n)
-                sums[b - low : b - low + n] = m @ self.latent[t]
+            sums = row_sums(self.latent, term, starts[low:high], ends[low:high] - starts[low:high])
+            own = np.append(blocks[low:high], -1)
             total = np.zeros((len(distinct), sums.shape[1]), np.float32)
-            for k in range(WINDOW_BLOCKS if high > low else 0):
-                i = np.minimum(np.searchsorted(blocks[low:high], distinct + k), high - low - 1)
-                hit = blocks[low:high][i] == distinct + k
-                total[hit] += sums[i[hit]]
+            for k in range(WINDOW_BLOCKS):
+                i = np.searchsorted(own[:-1], distinct + k)
+                total += sums[np.where(own[i] == distinct + k, i, len(own) - 1)]
             total /= np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-9)[:, None]
             cosine = np.einsum("ij,ij->i", total[row], self.queries[parts])
             close = cosine >= COSINE
@@ -367,7 +478,7 @@ def fitted(docs: DataFrame, items: list[Item]) -> Model | None:
         rare |= {(t, i) for t in terms[: len(terms) - least_common(len(terms)) + 1]}
     term, part = (np.array(c, np.int64) for c in zip(*sorted(rare), strict=True))
     first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-    return Model(vocabulary, np.ascontiguousarray(latent), np.ascontiguousarray(queries), items, first, part)
+    return Model(Lookup(vocabulary), np.ascontiguousarray(latent), np.ascontiguousarray(queries), items, first, part)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: Column | str = "doc_id") -> DataFrame:
