@@ -56,3 +56,11 @@ def test_a_hot_category_is_dealt_to_many_tasks(spark):
     assert plan.count("hashpartitioning(c") >= 1 and "_stretch" in plan
     sizes = df.groupBy(F.substring("p", 1, 2)).count().agg(F.max("count")).first()[0]
     assert sizes == pytest.approx(4, abs=14)
+
+
+def test_all_categories_share_one_exchange_of_the_rows(spark):
+    """The wide rows are dealt once, by stretch, and joined with nothing."""
+    df = spark.range(1000).select("id", F.hash("id").alias("wide"), (F.col("id") % 3).alias("c"), (F.col("id") % 5).alias("d"), (F.col("id") % 2).alias("y"))
+    df = df.withColumn("p", permutation_place(["id"], 1))
+    plan = ordered_target_encoding(df, ["c", "d"], "y", "p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Join" not in plan
